@@ -13,6 +13,9 @@ from inkwell.llm.packing import pack_documents
 from inkwell.llm.quality import quality_rules
 from inkwell.llm.secret_scan import scan_secrets
 from inkwell.llm.sharding import shard_documents
+from inkwell.llm.simhash import near_duplicates
+from inkwell.llm.substring import repeated_passages
+from inkwell.llm.toxicity import score_toxicity, train
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +26,10 @@ def op1_best_fit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir), n_shards=40)
 
 
+def op2_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), radius=3, width=3, seed=42)
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), capacity=1024, end_id=2)
 
@@ -31,6 +38,15 @@ def op4_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(documents(spark, sf_dir))
 
 
+def op5_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(documents(spark, sf_dir))
+
+
+def op6_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return score_toxicity(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op7_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(documents(spark, sf_dir))
 
@@ -49,7 +65,7 @@ def op10_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_shards, op3_best_fit_packing, op4_license_rules, op7_entropy_secrets, op8_multiset_fingerprints, op9_merge_replay, op10_host_quality)
+    f.__name__: f for f in (op1_best_fit_shards, op2_simhash_near_dup, op3_best_fit_packing, op4_license_rules, op5_chunk_dedup, op6_ordinal_toxicity, op7_entropy_secrets, op8_multiset_fingerprints, op9_merge_replay, op10_host_quality)
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -78,12 +78,12 @@ def host_verdicts(metrics: DataFrame, host_limit: float = 0.3) -> DataFrame:
     all alike) it has the strength of ten documents.
     """
     hosts = metrics.groupBy("host").agg(F.count("*").alias("n_docs"), F.sum(F.col("failed").cast("long")).alias("n_failed"))
-    rates = hosts.agg(F.avg(F.col("n_failed") / F.col("n_docs")).alias("m"), F.coalesce(F.var_pop(F.col("n_failed") / F.col("n_docs")), F.lit(0.0)).alias("v"))
-    fitted = F.greatest(F.lit(1.0), F.least(F.lit(1000.0), F.col("m") * (1 - F.col("m")) / F.nullif(F.col("v"), F.lit(0.0)) - 1))
-    prior = rates.select(F.col("m"), F.coalesce(F.when(F.col("v") > 1e-9, fitted), F.lit(10.0)).alias("strength"))
-    shrunk = (F.col("n_failed") + F.col("m") * F.col("strength")) / (F.col("n_docs") + F.col("strength"))
-    #: `prior` is one row, by construction
-    return hosts.join(F.broadcast(prior), F.lit(True)).select("host", "n_docs", "n_failed", shrunk.alias("host_rate"), (shrunk > host_limit).alias("host_failed"))
+    rate = F.col("n_failed") / F.col("n_docs")
+    mean, spread = hosts.agg(F.avg(rate), F.coalesce(F.var_pop(rate), F.lit(0.0))).first()
+    mean = mean or 0.0
+    strength = min(1000.0, max(1.0, mean * (1 - mean) / spread - 1)) if spread and spread > 1e-9 else 10.0
+    shrunk = (F.col("n_failed") + F.lit(mean) * F.lit(strength)) / (F.col("n_docs") + F.lit(strength))
+    return hosts.select("host", "n_docs", "n_failed", shrunk.alias("host_rate"), (shrunk > host_limit).alias("host_failed"))
 
 
 def quality_rules(

@@ -68,6 +68,6 @@ def merge_open_brackets(parts: Column) -> Column:
 def parents_by_level(sections: DataFrame, by: list[str], order: str, level: str, key: str) -> DataFrame:
     """Add `parent`: the nearest earlier row of a smaller level (W5). Levels are few: one window for each."""
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    candidates = [F.last(F.when(F.col(level) == k, F.struct(F.col(order), F.col(key))), ignorenulls=True).over(w) for k in range(5)]
+    candidates = [F.last(F.when(F.col(level) == k, F.struct(F.col(order).alias("o"), F.col(key).alias("k"))), ignorenulls=True).over(w) for k in range(5)]
     allowed = F.array(*[F.when(F.lit(k) < F.col(level), c) for k, c in enumerate(candidates)])
-    return sections.withColumn("parent", F.array_max(F.filter(allowed, lambda c: c.isNotNull()))[key])
+    return sections.withColumn("parent", F.array_max(F.filter(allowed, lambda c: c.isNotNull()))["k"])

@@ -104,7 +104,8 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
     """
     kind = docs.schema[id_col].dataType.simpleString()
     table = materialize(chunk_table(docs, id_col, text_col), "chunks")
-    owners = table.filter(~F.col("again")).groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("held")).filter("held > 1").select("digest", "first")
+    held = table.filter(~F.col("again")).groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count_if(F.col("doc_id").isNull()).alias("unnamed"))
+    owners = held.filter("first < last or unnamed > 1 or (unnamed = 1 and first is not null)").select("digest", "first")
     hits = table.join(owners.hint("shuffle_hash"), "digest").select("doc_id", "at", "n", "first")
     listed = hits.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "n", "first"))).alias("marked"))
 

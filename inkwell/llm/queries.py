@@ -68,4 +68,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_best_fit_shards, op2_simhash_near_dup, op3_best_fit_packing, op4_license_rules, op5_chunk_dedup, op6_ordinal_toxicity, op7_entropy_secrets, op8_multiset_fingerprints, op9_merge_replay, op10_host_quality)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+QUALITY_SQL = r"""
+WITH w AS (SELECT doc_id, source AS host, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM (SELECT doc_id, source, coalesce(text, '') AS t FROM documents)),
+grams AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM grams) WHERE c > 1),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY doc_id),
+m AS (SELECT doc_id, host, len(w) AS n_words, coalesce(list_sum([length(x) for x in w]), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+  len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM w LEFT JOIN covered USING (doc_id)),
+j AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  (CASE WHEN 100 * n_symbols > 30 * n_words THEN 2 ELSE 0 END + CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN 1 ELSE 0 END + CASE WHEN word_chars < 2 * n_words OR word_chars > 15 * n_words THEN 1 ELSE 0 END)::INT AS n_soft FROM m),
+h AS (SELECT host, count(*) AS n, count(*) FILTER (base_failed OR n_soft > 0) AS f FROM j GROUP BY host),
+p AS (SELECT m, CASE WHEN v > 1e-9 THEN least(1000, greatest(1, m * (1 - m) / v - 1)) ELSE 10 END AS s FROM (SELECT avg(f / n) AS m, var_pop(f / n) AS v FROM h)),
+v AS (SELECT host, (f + m * s) / (n + s) > 0.3 AS host_failed FROM h CROSS JOIN p)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND n_soft < 2 AND NOT (n_soft > 0 AND host_failed) AS kept, n_soft, host_failed
+FROM j JOIN v ON j.host IS NOT DISTINCT FROM v.host"""
+
+ORACLE_SQL: dict[str, str] = {"op10_host_quality": QUALITY_SQL}

@@ -9,12 +9,13 @@ from __future__ import annotations
 import re
 import sys
 from dataclasses import dataclass, field
+from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.functions.latex import Node, tree
+from inkwell.functions.latex import Node, canonical_latex, tree
 
 # Classes, patterns and word lists that decide the results.
 LATEXML_SECTIONS = {"ltx_section": (1, "section"), "ltx_subsection": (2, "subsection"), "ltx_subsubsection": (3, "subsubsection"), "ltx_paragraph": (4, "paragraph"), "ltx_appendix": (1, "appendix")}
@@ -170,6 +171,53 @@ def parse_page(html: str, preset: Preset = LATEXML) -> dict:
     return {"title": spaced_text(title) if title else "", "sections": sections, "paragraphs": paragraphs, "equations": equations}
 
 
+class _InlineMath(HTMLParser):
+    """Inline formulas with the paragraph they stand in, each shown in it between dollar signs."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.found: list[dict] = []
+        self.pieces: list[str] = []
+        self.waiting: list[dict] = []
+        self.paragraph_id, self.depth = None, 0
+
+    def finish(self) -> None:
+        paragraph = squeeze("".join(self.pieces))
+        self.found += [{**m, "paragraph": paragraph} for m in self.waiting]
+        self.pieces, self.waiting = [], []
+
+    def handle_starttag(self, tag, attrs):
+        named = dict(attrs)
+        if tag == "p":
+            self.finish()
+            self.paragraph_id = named.get("id")
+        elif tag == "math" and named.get("display", "inline") == "inline":
+            self.depth += 1
+            latex = (named.get("alttext") or "").strip()
+            if latex:
+                self.pieces.append(f" ${latex}$ ")
+                self.waiting.append({"latex": latex, "canonical": canonical_latex(latex), "dom_id": named.get("id"), "paragraph_id": self.paragraph_id})
+
+    def handle_endtag(self, tag):
+        if tag == "p":
+            self.finish()
+        elif tag == "math":
+            self.depth = max(0, self.depth - 1)
+
+    def handle_data(self, data):
+        if not self.depth:
+            self.pieces.append(data)
+
+
+def inline_math(page: str | None) -> list[dict]:
+    """latex, canonical, paragraph, dom_id and paragraph_id of inline formulas (SRC9)."""
+    parser = _InlineMath()
+    parser.feed(page or "")
+    parser.close()
+    parser.finish()
+    return parser.found
+
+
 _S = pa.string()
 SENTENCE = pa.struct([("sentence_id", _S), ("order", pa.int32()), ("text", _S), ("start", pa.int32()), ("end", pa.int32())])
 SECTION = pa.struct([("section_id", _S), ("parent_section_id", _S), ("order", pa.int32()), ("level", pa.int32()), ("kind", _S), ("title", _S), ("synthetic", pa.bool_())])
@@ -248,3 +296,13 @@ def equation_contexts(eqs: DataFrame, sents: DataFrame, n: int = 5) -> DataFrame
     before, after = side(near.filter("document_order < _at"), False, "before"), side(near.filter("document_order > _at"), True, "after")
     none = F.array().cast("array<struct<sentence_id:string,text:string>>")
     return eqs.join(before, key, "left").join(after, key, "left").withColumns({c: F.coalesce(c, none) for c in ("before", "after")})
+
+
+def inline_math_index(pages: DataFrame) -> DataFrame:
+    """One row for each inline formula of pages (paper_id, html), and how often its canonical form occurs in the paper (SRC9, A32)."""
+    @F.pandas_udf("array<struct<latex:string,canonical:string,paragraph:string,dom_id:string,paragraph_id:string>>")
+    def find(s):
+        return s.map(inline_math)
+
+    found = pages.select("paper_id", F.explode(find("html")).alias("m")).select("paper_id", "m.*")
+    return found.withColumn("occurrences", F.count("*").over(Window.partitionBy("paper_id", "canonical")))

@@ -196,8 +196,9 @@ def _tokenizer(path: str):
     return tokenizer
 
 
+@lru_cache(maxsize=1)
 def token_cache(path: str, pattern: str) -> PieceCache:
-    """A cache whose value for a string is its ids as little-endian unsigned 32-bit numbers."""
+    """A cache whose value for a string is its ids as little-endian unsigned 32-bit numbers; a worker keeps it for its next task."""
     import regex
 
     tokenizer = _tokenizer(path)

@@ -118,7 +118,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     kind = docs.schema[id_col].dataType.simpleString()
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     plain = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ranged = plain.repartitionByRange(parts, "doc_id", "text").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
+    ranged = plain.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
     names = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 

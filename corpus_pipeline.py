@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkwell.llm.jaccard import near_texts
 from inkwell.llm.packing import pack_documents
 from inkwell.llm.quality import quality_rules
 from inkwell.llm.secret_scan import redact_secrets
-from inkwell.llm.simhash import near_duplicates
 from inkwell.llm.substring import remove_passages
 from inkwell.scratch import materialize
 
@@ -33,8 +33,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays; of rows equal in id and text, one."""
-    groups = materialize(near_duplicates(docs), "groups")
+    """Of each group of near-duplicates the document with the smallest id stays; of rows equal in id and text, one.
+
+    Near-duplicates share 0.8 or more of their shingles of five words (exact Jaccard); op2's fingerprints are for op2 only.
+    """
+    groups = materialize(near_texts(docs), "groups")
     kept = _with_ids(docs, groups.filter("doc_id <=> component_id"))
     twice = groups.groupBy("doc_id").count().filter("count > 1")
     if twice.isEmpty():

@@ -139,7 +139,7 @@ OTHERS = (
     ("warranty-disclaimer", "warranty", r"(?:as is )?without (?:any )?warranty of any kind", 1, 0.4),
 )
 #: A text without any of these has no detection; a substring test for each comes before everything else.
-MARKS = ("licen", "spdx", "public domain", "all rights reserved", "copyright", "permission", "redistribution", "warranty", "neither the name", "waived", "want to")
+MARKS = ("licen", " under ", "spdx", "public domain", "all rights reserved", "copyright", "permission", "redistribution", "warranty", "neither the name", "waived", "want to")
 
 
 @lru_cache(maxsize=1)

@@ -20,7 +20,7 @@ from inkwell.llm.common import batch_of, map_batches, texts
 #: (words of a phrase, label): counted wherever the words stand in a row.
 BASE_PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: (label, word that must occur, name as a regular expression over lower-case words)
+#: (label, words of which one must occur, name as a regular expression over lower-case words)
 FAMILIES = (
     ("mit", "mit", r"mit(?: x11| expat)?"),
     ("mit-0", "attribution", r"mit no attribution"),
@@ -28,17 +28,17 @@ FAMILIES = (
     ("x11", "x11", r"x11"),
     ("apache", "apache", r"apache(?: software)?"),
     ("gpl", "general", r"(?:gnu )?general public"),
-    ("gpl", "gpl", r"(?:gnu )?gpl(?:v[123])?"),
+    ("gpl", "gpl|gplv1|gplv2|gplv3", r"(?:gnu )?gpl(?:v[123])?"),
     ("lgpl", "lesser", r"(?:gnu )?lesser general public"),
     ("lgpl", "library", r"(?:gnu )?library general public"),
-    ("lgpl", "lgpl", r"(?:gnu )?lgpl(?:v[23])?"),
+    ("lgpl", "lgpl|lgplv2|lgplv3", r"(?:gnu )?lgpl(?:v[23])?"),
     ("agpl", "affero", r"(?:gnu )?affero general public"),
-    ("agpl", "agpl", r"(?:gnu )?agpl(?:v[13])?"),
+    ("agpl", "agpl|agplv1|agplv3", r"(?:gnu )?agpl(?:v[13])?"),
     ("gfdl", "documentation", r"(?:gnu )?free documentation"),
     ("bsd-2-clause", "simplified", r"simplified bsd"),
     ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|2 clause bsd|two clause bsd)"),
     ("bsd-3-clause", "bsd", r"(?:bsd 3 clause|3 clause bsd|three clause bsd)"),
-    ("bsd-3-clause", "revised", r"(?:new|revised|modified) bsd"),
+    ("bsd-3-clause", "new|revised|modified", r"(?:new|revised|modified) bsd"),
     ("bsd-4-clause", "bsd", r"(?:bsd 4 clause|4 clause bsd|original bsd)"),
     ("0bsd", "0bsd", r"0bsd"),
     ("0bsd", "zero", r"zero clause bsd"),
@@ -66,7 +66,7 @@ FAMILIES = (
     ("libpng", "libpng", r"libpng"),
     ("unlicense", "unlicense", r"(?:the )?unlicense"),
     ("wtfpl", "wtfpl", r"wtfpl"),
-    ("cc0", "cc0", r"(?:cc0|cc 0)"),
+    ("cc0", "cc0|cc 0", r"(?:cc0|cc 0)"),
     ("cc0", "zero", r"creative commons zero"),
     ("cc-by", "cc", r"cc by"),
     ("cc-by-sa", "sa", r"cc by sa"),
@@ -75,7 +75,7 @@ FAMILIES = (
     ("cc-by-nc-sa", "nc", r"cc by nc sa"),
     ("cc-by-nc-nd", "nc", r"cc by nc nd"),
     ("cc-by", "attribution", r"creative commons attribution"),
-    ("cc-by-sa", "sharealike", r"creative commons attribution (?:sharealike|share alike)"),
+    ("cc-by-sa", "sharealike|share", r"creative commons attribution (?:sharealike|share alike)"),
     ("cc-by-sa", "share", r"creative commons attribution share alike"),
     ("cc-by-nc", "noncommercial", r"creative commons attribution noncommercial"),
     ("cc-by-nc", "commercial", r"creative commons attribution non commercial"),
@@ -88,7 +88,7 @@ FAMILIES = (
     ("odc-by", "odc", r"odc by"),
     ("pddl", "pddl", r"pddl"),
     ("ofl", "font", r"(?:sil )?open font"),
-    ("python", "psf", r"(?:python software foundation|psf)"),
+    ("python", "psf|foundation", r"(?:python software foundation|psf)"),
     ("python", "python", r"python"),
     ("php", "php", r"php"),
     ("ruby", "ruby", r"ruby"),
@@ -112,7 +112,7 @@ FAMILIES = (
     ("cecill", "cecill", r"cecill"),
     ("proprietary", "proprietary", r"proprietary"),
     ("llama", "llama", r"llama(?: [23])? community"),
-    ("openrail", "openrail", r"(?:open ?rail|creativeml open rail|bigscience open rail) ?m?"),
+    ("openrail", "openrail|openrailm|rail|railm", r"(?:open ?rail|creativeml open rail|bigscience open rail) ?m?"),
 )
 
 VERSION = r"(?: (?:version |v ?)?(?P<v>\d+(?: \d+)?)(?: (?:or later|only|unported|international|generic))?)?"
@@ -133,7 +133,7 @@ OTHERS = (
     ("mit", "charge", r"permission is hereby granted free of charge to any person obtaining a copy", 5, 0.95),
     ("isc", "purpose", r"permission to use copy modify and or distribute this software for any purpose", 5, 0.95),
     ("bsd", "redistribution", r"redistribution and use in source and binary forms", 5, 0.9),
-    ("bsd-3-clause", "endorse", r"neither the name of .{1,80}? nor the names of its contributors", 5, 0.9),
+    ("bsd-3-clause", "neither", r"neither the name of .{1,80}? nor the names of its contributors", 5, 0.9),
     ("wtfpl", "want", r"do what the fuck you want to", 5, 0.95),
     ("cc0", "waived", r"waived all copyright and related or neighboring rights", 5, 0.9),
     ("warranty-disclaimer", "warranty", r"(?:as is )?without (?:any )?warranty of any kind", 1, 0.4),
@@ -157,7 +157,8 @@ def prefilter():
 
     opened: dict[str, list[int]] = {}
     for k, (_, _, _, key, _) in enumerate(rules()):
-        opened.setdefault(key, []).append(k)
+        for word in key.split("|"):
+            opened.setdefault(word, []).append(k)
     automaton = ahocorasick.Automaton()
     for key, numbers in opened.items():
         automaton.add_word(f" {key} ", numbers)

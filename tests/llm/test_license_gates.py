@@ -1,4 +1,4 @@
-"""Texts that a license rule matches pass the gate before the rules."""
+"""Every alternative of every license rule passes the gate and opens its own rule."""
 
 from __future__ import annotations
 
@@ -38,6 +38,25 @@ def ways(expression):
     return sorted(set(spellings(parser.parse(expression))))
 
 
+def opened(words):
+    return {k for _, numbers in licenses.prefilter().iter(words) for k in numbers}
+
+
+def test_every_alternative_opens_its_rules():
+    forms = [form.replace(licenses.VERSION, "").replace(licenses.WORD, "") for _, _, form in licenses.FORMS]
+    for label, key, name in licenses.FAMILIES:
+        for spelling in ways(name):
+            for form in forms:
+                text = licenses.normalise(ways(form.replace("{name}", "NAME"))[0].replace("NAME", spelling))
+                own = [k for k, r in enumerate(licenses.rules()) if (r[2], r[3]) == (label, key) and r[4].search(text, 1, len(text) - 1)]
+                assert own and opened(text) & set(own), (label, text)
+    for label, key, expression, *_ in licenses.OTHERS:
+        for spelling in ways(expression):
+            text = f" {spelling} "
+            own = {k for k, r in enumerate(licenses.rules()) if (r[2], r[3]) == (label, key)}
+            assert opened(text) & own, (label, text)
+
+
 def test_the_gate_hides_no_rule(monkeypatch):
     found = []
     texts = []
@@ -48,7 +67,7 @@ def test_the_gate_hides_no_rule(monkeypatch):
     for marks in (licenses.MARKS, ("",)):
         monkeypatch.setattr(licenses, "MARKS", marks)
         found.append([licenses.detections(t) for t in texts])
-    assert found[0] == found[1]
+    assert found[0] == found[1] and all(found[0])
 
 
 @pytest.mark.parametrize(
@@ -57,6 +76,12 @@ def test_the_gate_hides_no_rule(monkeypatch):
         ("released under the GPL version 3", "gpl-3"),
         ("distributed under Apache 2.0", "apache-2.0"),
         ("available under the MPL", "mpl"),
+        ("licensed under GPLv3", "gpl"),
+        ("the LGPLv2.1 license", "lgpl"),
+        ("Licensed under the CreativeML Open RAIL-M", "openrail"),
+        ("Python Software Foundation License", "python"),
+        ("Modified BSD License", "bsd-3-clause"),
+        ("licensed under CC 0", "cc0"),
     ],
 )
 def test_common_spellings(text, label):

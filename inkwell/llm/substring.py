@@ -61,7 +61,7 @@ def chunks(text: str) -> tuple[list[int], list[int]]:
 
 
 def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, digest, at (first word), n (words), again (the digest came earlier in the same text)."""
+    """doc_id, row (hash of the text), digest, at (first word), n (words), again (the digest came earlier in the same text)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -76,10 +76,11 @@ def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 n.append(b - a)
             digest += digests
             row += [k] * len(digests)
-        return batch_of(doc_id=batch.column("doc_id").take(pa.array(row, pa.int64())), digest=pa.array(digest, pa.int64()), at=pa.array(at, pa.int32()), n=pa.array(n, pa.int32()), again=pa.array(again, pa.bool_()))
+        rows = pa.array(row, pa.int64())
+        return batch_of(doc_id=batch.column("doc_id").take(rows), row=batch.column("row").take(rows), digest=pa.array(digest, pa.int64()), at=pa.array(at, pa.int32()), n=pa.array(n, pa.int32()), again=pa.array(again, pa.bool_()))
 
-    plain = docs.selectExpr(f"`{id_col}` as doc_id", f"`{text_col}` as text")
-    return map_batches(plain, lambda: work, f"doc_id {kind}, digest long, at int, n int, again boolean")
+    plain = docs.selectExpr(f"`{id_col}` as doc_id", f"xxhash64(`{text_col}`) as row", f"`{text_col}` as text")
+    return map_batches(plain, lambda: work, f"doc_id {kind}, row long, digest long, at int, n int, again boolean")
 
 
 def _spans(marked: list[dict], wanted, min_words: int) -> list[list[int]]:
@@ -95,19 +96,25 @@ def _spans(marked: list[dict], wanted, min_words: int) -> list[list[int]]:
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document that holds a passage of `min_words` or more found in another document.
+    """One row per document (id and text) that holds a passage of `min_words` or more found in another document.
 
     doc_id, repeated (true), n_spans, n_repeat_words, n_removed_words, first_doc_ids (documents that keep what this
     one repeats), spans and removed (arrays of first word and end). Passages are removed from all documents but the
-    one with the smallest id. Rows that share an id count as one document; a row with a null id is a document
-    after all others. Null and empty texts repeat nothing; an empty table gives an empty result.
+    one with the smallest id. Rows that share an id do not repeat each other, and each of their texts has its own
+    spans; a row with a null id is a document after all others. Null and empty texts repeat nothing; an empty table gives an empty result.
     """
+    return _passages(docs, min_words, id_col, text_col).drop("row")
+
+
+def _passages(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
+    """repeated_passages() with `row`, the hash of the text that the spans are of."""
     kind = docs.schema[id_col].dataType.simpleString()
     table = materialize(chunk_table(docs, id_col, text_col), "chunks")
     held = table.filter(~F.col("again")).groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count_if(F.col("doc_id").isNull()).alias("unnamed"))
     owners = held.filter("first < last or unnamed > 1 or (unnamed = 1 and first is not null)").select("digest", "first")
-    hits = table.join(owners.hint("shuffle_hash"), "digest").select("doc_id", "at", "n", "first")
-    listed = hits.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "n", "first"))).alias("marked"))
+    hits = table.join(owners.hint("shuffle_hash"), "digest").select("doc_id", "row", "at", "n", "first")
+    # A row present twice has every chunk twice: a set holds it once.
+    listed = hits.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set(F.struct("at", "n", "first"))).alias("marked"))
 
     def assemble(batches):
         for big in batches:
@@ -123,12 +130,13 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
                         rows.append((k, True, len(spans), total(spans), total(removed), firsts, spans, removed))
                 c = list(zip(*rows, strict=True)) or [()] * 8
                 pairs, ids = pa.list_(pa.list_(pa.int32())), batch.column("doc_id")
+                picked = pa.array(c[0], pa.int64())
                 yield batch_of(
-                    doc_id=ids.take(pa.array(c[0], pa.int64())), repeated=pa.array(c[1], pa.bool_()), n_spans=pa.array(c[2], pa.int32()), n_repeat_words=pa.array(c[3], pa.int64()),
+                    doc_id=ids.take(picked), row=batch.column("row").take(picked), repeated=pa.array(c[1], pa.bool_()), n_spans=pa.array(c[2], pa.int32()), n_repeat_words=pa.array(c[3], pa.int64()),
                     n_removed_words=pa.array(c[4], pa.int64()), first_doc_ids=pa.array(c[5], pa.list_(ids.type)), spans=pa.array(c[6], pairs), removed=pa.array(c[7], pairs),
                 )
 
-    schema = f"doc_id {kind}, repeated boolean, n_spans int, n_repeat_words long, n_removed_words long, first_doc_ids array<{kind}>, spans array<array<int>>, removed array<array<int>>"
+    schema = f"doc_id {kind}, row long, repeated boolean, n_spans int, n_repeat_words long, n_removed_words long, first_doc_ids array<{kind}>, spans array<array<int>>, removed array<array<int>>"
     return listed.mapInArrow(assemble, schema)
 
 
@@ -147,8 +155,8 @@ def remove_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "
 
     Other columns stay as they are, and so do rows that repeat nothing.
     """
-    found = repeated_passages(docs, min_words, id_col, text_col).filter("n_removed_words > 0").select(F.col("doc_id").alias("_of"), F.col("removed").alias("_removed"))
-    joined = docs.join(found.hint("shuffle_hash"), docs[id_col] == F.col("_of"), "left").drop("_of")
+    found = _passages(docs, min_words, id_col, text_col).filter("n_removed_words > 0").select(F.col("doc_id").alias("_of"), F.col("row").alias("_row"), F.col("removed").alias("_removed"))
+    joined = docs.join(found.hint("shuffle_hash"), (docs[id_col] == F.col("_of")) & (F.xxhash64(docs[text_col]) == F.col("_row")), "left").drop("_of", "_row")
     at, last = docs.columns.index(text_col), len(docs.columns)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:

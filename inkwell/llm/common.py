@@ -5,15 +5,38 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows handed to Python code at once by the operators below, whatever the session's Arrow batch size is.
 SLICE_ROWS = 512
+#: Bytes after which Spark ends an Arrow batch (it goes past by one row at most), unless the session has its own limit.
+BATCH_BYTES, _LIMIT, _DEFAULT = "16m", "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's limit on the bytes of an Arrow batch, if it is Spark's own: rows alone bound no memory."""
+    if spark.conf.get(_LIMIT, None) == _DEFAULT:
+        spark.conf.set(_LIMIT, BATCH_BYTES)
+
+
+def map_whole_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """Apply one function to Arrow batches as Spark makes them; `make` builds it once per task."""
+    bound_batches(df.sparkSession)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batches:
+            if batch.num_rows:
+                yield work(batch)
+
+    return df.mapInArrow(run, schema)
+
+
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """Apply one function to Arrow batches of at most SLICE_ROWS rows; `make` builds it once per task."""
+    bound_batches(df.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()

@@ -5,9 +5,8 @@ made on the driver from at most `capacity` counts, however large the corpus is.
 scheme: lengths over a share of the capacity are put in groups of equal cardinality and rounded up to the longest of
 their group; configurations of these few sizes are optimised (the fullest choice of sizes beside the largest one
 left, used as often as the counts allow); the actual documents take the places, which frees what the rounding took;
-small documents then go, largest first, where they fit best. Several numbers of groups are tried, up to one group
-for each length, and the plan with the fewest sequences is used. Bins of one kind are planned together, as (count,
-lengths).
+small documents then go, largest first, where they fit best. Some numbers of groups and some shares are tried, and the
+plan with the fewest sequences is used. Bins of one kind are planned together, as (count, lengths).
 
 The pieces of each length are numbered without gaps by (length, salt), so that no length gathers in one task, and
 find their place in the plan by that number.
@@ -15,11 +14,11 @@ find their place in the plan by that number.
 
 from __future__ import annotations
 
-import gc
 import os
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -27,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.llm.bpe import gpt_pattern, vocabulary_path
-from inkwell.llm.common import batch_of, map_batches, salt, texts
-from inkwell.llm.pieces import PieceCache
+from inkwell.llm.bpe import vocabulary_path
+from inkwell.llm.common import batch_of, map_batches, map_whole_batches, salt
+from inkwell.llm.pieces import UnitStream
 from inkwell.scratch import materialize
 
-GROUPS = (16, 64, 256, 1 << 20)
-LARGE_SHARE = 1 / 8
+#: Numbers of groups, and shares of the capacity above which a length is large.
+GROUPS, LARGE_SHARES = (128, 256, 384), (1 / 2, 1 / 3, 1 / 4)
+#: Units that the tokenizer gets as one string.
+JOINED = 1000
 
 Bins = list[tuple[int, tuple[int, ...]]]
 
@@ -48,9 +49,6 @@ def _linear_groups(counts: dict[int, int], groups: int) -> dict[int, list[list[i
     top, room = 0, 0
     for length in sorted(counts, reverse=True):
         left = counts[length]
-        if groups >= len(counts):
-            out[length] = [[length, left]]
-            continue
         while left:
             if not room:
                 top, room = length, each
@@ -170,23 +168,24 @@ def best_fit(bins: Bins, counts: dict[int, int], capacity: int) -> Bins:
     return [(times, lengths) for runs in by_room.values() for times, lengths in runs if lengths]
 
 
-def plan_sequences(counts: dict[int, int], capacity: int, large_share: float = LARGE_SHARE, tried: tuple[int, ...] = GROUPS) -> Bins:
+def plan_sequences(counts: dict[int, int], capacity: int, shares: tuple[float, ...] = LARGE_SHARES, tried: tuple[int, ...] = GROUPS) -> Bins:
     """The bins for `counts` (length -> number of pieces), as (number of such bins, their lengths)."""
     full = counts.get(capacity, 0)
     counts = {n: c for n, c in counts.items() if c and n < capacity}
-    large = {n: c for n, c in counts.items() if n > large_share * capacity}
-    small = {n: c for n, c in counts.items() if n not in large}
     best: Bins | None = None
-    for groups in tried:
-        rounded = _linear_groups(large, groups)
-        configs = _configurations({s: sum(c for _, c in runs) for s, runs in rounded.items()}, capacity)
-        bins = best_fit(_substitute(configs, rounded), small, capacity)
-        if best is None or sum(c for c, _ in bins) < sum(c for c, _ in best):
-            best = bins
+    for share in shares:
+        large = {n: c for n, c in counts.items() if n > share * capacity}
+        small = {n: c for n, c in counts.items() if n not in large}
+        for groups in tried:
+            rounded = _linear_groups(large, groups)
+            configs = _configurations({s: sum(c for _, c in runs) for s, runs in rounded.items()}, capacity)
+            bins = best_fit(_substitute(configs, rounded), small, capacity)
+            if best is None or sum(c for c, _ in bins) < sum(c for c, _ in best):
+                best = bins
     return ([(full, (capacity,))] if full else []) + (best or [])
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -196,54 +195,83 @@ def _tokenizer(path: str):
     return tokenizer
 
 
-@lru_cache(maxsize=1)
-def token_cache(path: str, pattern: str) -> PieceCache:
-    """A cache whose value for a string is its ids as little-endian unsigned 32-bit numbers; a worker keeps it for its next task."""
-    import regex
+def unit_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
+    """Encodes units (see pieces) to ids as little-endian unsigned 32-bit numbers.
 
+    Units that begin with a space and something else than white space are encoded by themselves also when they stand
+    in a row, so the tokenizer gets them JOINED at a time; the bytes that its tokens stand for tell where each one ends.
+    """
     tokenizer = _tokenizer(path)
     encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-    return PieceCache(lambda strings: [np.array(e.ids, "<u4").tobytes() for e in encode(strings, add_special_tokens=False)], regex.compile(pattern).findall)
+    #: a byte-level token has one character for each byte
+    width = np.array([len(tokenizer.id_to_token(k) or "") for k in range(tokenizer.get_vocab_size())])
+
+    def ids(strings: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in encode(strings, add_special_tokens=False)]
+
+    def work(units: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(units)
+        joined = [k for k, u in enumerate(units) if u[:1] == " " and len(u) > 1 and not u[1].isspace()]
+        if len(joined) < len(units):
+            alone = sorted(set(range(len(units))).difference(joined))
+            for k, own in zip(alone, ids([units[k] for k in alone]), strict=True):
+                out[k] = own.tobytes()
+        for at in range(0, len(joined), JOINED):
+            some = joined[at : at + JOINED]
+            strings = [units[k] for k in some]
+            (row,) = ids(["".join(strings)])
+            ends = np.searchsorted(np.cumsum(width[row]), np.cumsum([len(s.encode()) for s in strings])) + 1
+            data, start = row.tobytes(), 0
+            for k, end in zip(some, (4 * ends).tolist(), strict=True):
+                out[k], start = data[start:end], end
+        return out
+
+    return work
 
 
 def token_pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each document's ids and `end_id`, cut where longer than `capacity`.
 
     Pieces are full from the end; the first one may be shorter. A null text counts as empty: one piece with the
-    end id. Repeated rows are packed each for itself.
+    end id. A text may be as long as a cell can be. Repeated rows are packed each for itself; other columns, whatever
+    their names, are not read; an empty table gives an empty result.
     """
-    path, pattern = path or vocabulary_path("byte_bpe_50k.json"), gpt_pattern()
+    path = path or vocabulary_path("byte_bpe_50k.json")
     kind, tail = docs.schema[id_col].dataType.simpleString(), np.array([end_id], "<u4").tobytes()
 
     def make():
-        gc.disable()  # nothing here makes cycles, and the cache would be walked again and again
-        cache = token_cache(path, pattern)
+        stream = UnitStream(unit_encoder(path))
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            row, piece, start, length, crc = [], [], [], [], []
-            for k, values in enumerate(cache.values(texts(batch))):
-                ids = b"".join(values) + tail
-                n = len(ids) // 4
-                cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
-                for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                    row.append(k)
-                    piece.append(i)
-                    start.append(a)
-                    length.append(b - a)
-                    crc.append(zlib.crc32(ids[4 * a : 4 * b]))
+            row, piece, start, length, crc, k = [], [], [], [], [], 0
+            for flat, bounds in stream.values(batch.column("text")):
+                data, bounds = memoryview(flat.tobytes()), (4 * bounds).tolist()
+                for begin, end in zip(bounds, bounds[1:], strict=False):
+                    n = (end - begin) // 4 + 1
+                    cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
+                    for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                        row.append(k)
+                        piece.append(i)
+                        start.append(a)
+                        length.append(b - a)
+                        held = zlib.crc32(data[begin + 4 * a : min(end, begin + 4 * b)])
+                        crc.append(zlib.crc32(tail, held) if b == n else held)
+                    k += 1
             return batch_of(doc_id=batch.column("doc_id").take(pa.array(row, pa.int64())), piece=pa.array(piece, pa.int32()), start=pa.array(start, pa.int64()), length=pa.array(length, pa.int64()), ids_crc32=pa.array(crc, pa.int64()))
 
         return work
 
     plain = docs.selectExpr(f"`{id_col}` as doc_id", f"`{text_col}` as text")
-    return map_batches(plain, make, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return map_whole_batches(plain, make, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def place_pieces(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
-    """Add sequence_id and offset to pieces (doc_id, piece, length, ...); `pieces` must be cheap to read twice."""
+    """Add sequence_id and offset to pieces (doc_id, piece, length, ..., any columns but those named here)."""
     spark = pieces.sparkSession
     parts = max(8, min(1024, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    pieces = pieces.withColumn("_salt", salt(F.col("doc_id"), F.col("piece"), parts=parts))
+    pieces = materialize(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    #: pieces have a row number of their own, so rows that are repeated spread like any others
+    pieces = pieces.withColumn("_salt", salt(F.col("_row"), parts=parts))
     #: at most capacity x parts rows, whatever the corpus
     counted = sorted((r["length"], r["_salt"], r["count"]) for r in pieces.groupBy("length", "_salt").count().collect())
     totals: dict[int, int] = defaultdict(int)
@@ -271,16 +299,16 @@ def place_pieces(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
             length = batch.column("length").to_numpy()
             rank = firsts[np.searchsorted(keys, length * parts + batch.column("_salt").to_numpy())] + batch.column("_rank").to_numpy() - 1
             found = plan[np.searchsorted(starts, length * span + rank, side="right") - 1]
-            columns = {n: batch.column(n) for n in batch.schema.names if n not in ("_salt", "_rank")}
+            columns = {n: batch.column(n) for n in batch.schema.names if n not in ("_salt", "_rank", "_row")}
             return batch_of(**columns, sequence_id=pa.array(found[:, 2] + rank - found[:, 1]), offset=pa.array(found[:, 3]))
 
         return work
 
-    order = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", *[c for c in pieces.columns if c not in ("doc_id", "piece", "length", "_salt")])
-    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema if f.name != "_salt")
+    order = Window.partitionBy("length", "_salt").orderBy("_row")
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema if f.name not in ("_salt", "_row"))
     return map_batches(pieces.withColumn("_rank", F.row_number().over(order).cast("long")), make, f"{kept}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: every piece and its place. Empty tables give none."""
-    return place_pieces(materialize(token_pieces(docs, capacity, end_id, id_col, text_col, path), "pieces"), capacity)
+    return place_pieces(token_pieces(docs, capacity, end_id, id_col, text_col, path), capacity)

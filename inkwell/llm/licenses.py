@@ -1,118 +1,124 @@
 """License detection by ordered signature rules.
 
-A text becomes its words in lower case with single spaces between. A keyword prefilter (one Aho-Corasick pass, run
-only over texts that hold a licensing word at all) names the families a text may mention; only their rules run. A
-rule is a regular expression over the words with a priority and a weight: FAMILIES gives some eighty hand-written
-names, FORMS the ways in which a text can bring one in, together several hundred rules. Detections that lie within
-an interval already taken by a rule of equal or higher priority are dropped, longer ones first among equals.
+A text becomes its words in lower case with single spaces between. A rule is a regular expression over the words with
+a priority and a weight: hand-written signatures of license texts, headers, notices and links (license_texts.py), and
+FAMILIES' names in the FORMS in which a text brings a license in. A keyword prefilter, one Aho-Corasick pass, opens
+the rules that can match: for each rule the strings that all its matches hold are read off the parsed expression, so
+the prefilter hides no match. Detections that lie within an interval already taken by a rule of higher priority are
+dropped, longer ones first among equals. All steps take time that grows with the text's length and its number of
+detections, but for the logarithm of the latter.
 """
 
 from __future__ import annotations
 
 import re
+import re._parser as parser
+from bisect import bisect_right
+from collections.abc import Iterable
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from inkwell.llm.common import batch_of, map_batches, texts
+from inkwell.llm.license_texts import signatures
 
 #: (words of a phrase, label): counted wherever the words stand in a row.
 BASE_PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: (label, words of which one must occur, name as a regular expression over lower-case words)
+#: (label, name as a regular expression over lower-case words); the group n is a version within the name.
 FAMILIES = (
-    ("mit", "mit", r"mit(?: x11| expat)?"),
-    ("mit-0", "attribution", r"mit no attribution"),
-    ("expat", "expat", r"expat"),
-    ("x11", "x11", r"x11"),
-    ("apache", "apache", r"apache(?: software)?"),
-    ("gpl", "general", r"(?:gnu )?general public"),
-    ("gpl", "gpl|gplv1|gplv2|gplv3", r"(?:gnu )?gpl(?:v[123])?"),
-    ("lgpl", "lesser", r"(?:gnu )?lesser general public"),
-    ("lgpl", "library", r"(?:gnu )?library general public"),
-    ("lgpl", "lgpl|lgplv2|lgplv3", r"(?:gnu )?lgpl(?:v[23])?"),
-    ("agpl", "affero", r"(?:gnu )?affero general public"),
-    ("agpl", "agpl|agplv1|agplv3", r"(?:gnu )?agpl(?:v[13])?"),
-    ("gfdl", "documentation", r"(?:gnu )?free documentation"),
-    ("bsd-2-clause", "simplified", r"simplified bsd"),
-    ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|2 clause bsd|two clause bsd)"),
-    ("bsd-3-clause", "bsd", r"(?:bsd 3 clause|3 clause bsd|three clause bsd)"),
-    ("bsd-3-clause", "new|revised|modified", r"(?:new|revised|modified) bsd"),
-    ("bsd-4-clause", "bsd", r"(?:bsd 4 clause|4 clause bsd|original bsd)"),
-    ("0bsd", "0bsd", r"0bsd"),
-    ("0bsd", "zero", r"zero clause bsd"),
-    ("bsd", "bsd", r"bsd(?: style)?"),
-    ("mpl", "mozilla", r"mozilla public"),
-    ("mpl", "mpl", r"mpl"),
-    ("epl", "eclipse", r"eclipse public"),
-    ("epl", "epl", r"epl"),
-    ("edl", "eclipse", r"eclipse distribution"),
-    ("cddl", "cddl", r"cddl"),
-    ("cddl", "distribution", r"common development and distribution"),
-    ("cpl", "common", r"common public"),
-    ("cpal", "attribution", r"common public attribution"),
-    ("ipl", "ibm", r"ibm public"),
-    ("eupl", "eupl", r"eupl"),
-    ("eupl", "union", r"european union public"),
-    ("osl", "open", r"open software"),
-    ("afl", "academic", r"academic free"),
-    ("ecl", "educational", r"educational community"),
-    ("artistic", "artistic", r"artistic"),
-    ("bsl", "boost", r"boost software"),
-    ("isc", "isc", r"isc"),
-    ("isc", "internet", r"internet systems consortium"),
-    ("zlib", "zlib", r"(?:zlib|zlib libpng)"),
-    ("libpng", "libpng", r"libpng"),
-    ("unlicense", "unlicense", r"(?:the )?unlicense"),
-    ("wtfpl", "wtfpl", r"wtfpl"),
-    ("cc0", "cc0|cc 0", r"(?:cc0|cc 0)"),
-    ("cc0", "zero", r"creative commons zero"),
-    ("cc-by", "cc", r"cc by"),
-    ("cc-by-sa", "sa", r"cc by sa"),
-    ("cc-by-nd", "nd", r"cc by nd"),
-    ("cc-by-nc", "nc", r"cc by nc"),
-    ("cc-by-nc-sa", "nc", r"cc by nc sa"),
-    ("cc-by-nc-nd", "nc", r"cc by nc nd"),
-    ("cc-by", "attribution", r"creative commons attribution"),
-    ("cc-by-sa", "sharealike|share", r"creative commons attribution (?:sharealike|share alike)"),
-    ("cc-by-sa", "share", r"creative commons attribution share alike"),
-    ("cc-by-nc", "noncommercial", r"creative commons attribution noncommercial"),
-    ("cc-by-nc", "commercial", r"creative commons attribution non commercial"),
-    ("cc-by-nd", "noderivatives", r"creative commons attribution noderivatives"),
-    ("cc-by-nc-sa", "noncommercial", r"creative commons attribution noncommercial (?:sharealike|share alike)"),
-    ("cc-by-nc-nd", "noncommercial", r"creative commons attribution noncommercial (?:noderivatives|no derivatives)"),
-    ("cc", "commons", r"creative commons"),
-    ("odbl", "odbl", r"odbl"),
-    ("odbl", "database", r"open database"),
-    ("odc-by", "odc", r"odc by"),
-    ("pddl", "pddl", r"pddl"),
-    ("ofl", "font", r"(?:sil )?open font"),
-    ("python", "psf|foundation", r"(?:python software foundation|psf)"),
-    ("python", "python", r"python"),
-    ("php", "php", r"php"),
-    ("ruby", "ruby", r"ruby"),
-    ("perl", "perl", r"perl(?: 5)?"),
-    ("postgresql", "postgresql", r"postgresql"),
-    ("openssl", "openssl", r"openssl"),
-    ("curl", "curl", r"curl"),
-    ("ncsa", "ncsa", r"(?:university of illinois ncsa|ncsa)(?: open source)?"),
-    ("ms-pl", "microsoft", r"microsoft public"),
-    ("ms-rl", "microsoft", r"microsoft reciprocal"),
-    ("apsl", "apple", r"apple public source"),
-    ("sissl", "sun", r"sun industry standards source"),
-    ("npl", "netscape", r"netscape public"),
-    ("qpl", "q", r"q public"),
-    ("lppl", "latex", r"latex project public"),
-    ("sspl", "server", r"server side public"),
-    ("busl", "business", r"business source"),
-    ("elastic", "elastic", r"elastic"),
-    ("commons-clause", "clause", r"commons clause"),
-    ("mulan", "mulan", r"mulan (?:permissive software|psl)"),
-    ("cecill", "cecill", r"cecill"),
-    ("proprietary", "proprietary", r"proprietary"),
-    ("llama", "llama", r"llama(?: [23])? community"),
-    ("openrail", "openrail|openrailm|rail|railm", r"(?:open ?rail|creativeml open rail|bigscience open rail) ?m?"),
+    ("mit", r"mit(?: x11| expat)?"),
+    ("mit-0", r"mit no attribution"),
+    ("expat", r"expat"),
+    ("x11", r"x11"),
+    ("apache", r"apache(?: software)?"),
+    ("gpl", r"(?:gnu )?general public"),
+    ("gpl", r"(?:gnu )?gpl(?:v(?P<n>[123]))?"),
+    ("lgpl", r"(?:gnu )?lesser general public"),
+    ("lgpl", r"(?:gnu )?library general public"),
+    ("lgpl", r"(?:gnu )?lgpl(?:v(?P<n>[23]))?"),
+    ("agpl", r"(?:gnu )?affero general public"),
+    ("agpl", r"(?:gnu )?agpl(?:v(?P<n>[13]))?"),
+    ("gfdl", r"(?:gnu )?free documentation"),
+    ("bsd-2-clause", r"simplified bsd"),
+    ("bsd-2-clause", r"(?:bsd 2 clause|2 clause bsd|two clause bsd)"),
+    ("bsd-3-clause", r"(?:bsd 3 clause|3 clause bsd|three clause bsd)"),
+    ("bsd-3-clause", r"(?:new|revised|modified) bsd"),
+    ("bsd-4-clause", r"(?:bsd 4 clause|4 clause bsd|original bsd)"),
+    ("0bsd", r"0bsd"),
+    ("0bsd", r"zero clause bsd"),
+    ("bsd", r"bsd(?: style)?"),
+    ("mpl", r"mozilla public"),
+    ("mpl", r"mpl"),
+    ("epl", r"eclipse public"),
+    ("epl", r"epl"),
+    ("edl", r"eclipse distribution"),
+    ("cddl", r"cddl"),
+    ("cddl", r"common development and distribution"),
+    ("cpl", r"common public"),
+    ("cpal", r"common public attribution"),
+    ("ipl", r"ibm public"),
+    ("eupl", r"eupl"),
+    ("eupl", r"european union public"),
+    ("osl", r"open software"),
+    ("afl", r"academic free"),
+    ("ecl", r"educational community"),
+    ("artistic", r"artistic"),
+    ("bsl", r"boost software"),
+    ("isc", r"isc"),
+    ("isc", r"internet systems consortium"),
+    ("zlib", r"(?:zlib|zlib libpng)"),
+    ("libpng", r"libpng"),
+    ("unlicense", r"(?:the )?unlicense"),
+    ("wtfpl", r"wtfpl"),
+    ("cc0", r"(?:cc0|cc 0)"),
+    ("cc0", r"creative commons zero"),
+    ("cc-by", r"cc by"),
+    ("cc-by-sa", r"cc by sa"),
+    ("cc-by-nd", r"cc by nd"),
+    ("cc-by-nc", r"cc by nc"),
+    ("cc-by-nc-sa", r"cc by nc sa"),
+    ("cc-by-nc-nd", r"cc by nc nd"),
+    ("cc-by", r"creative commons attribution"),
+    ("cc-by-sa", r"creative commons attribution (?:sharealike|share alike)"),
+    ("cc-by-sa", r"creative commons attribution share alike"),
+    ("cc-by-nc", r"creative commons attribution noncommercial"),
+    ("cc-by-nc", r"creative commons attribution non commercial"),
+    ("cc-by-nd", r"creative commons attribution noderivatives"),
+    ("cc-by-nc-sa", r"creative commons attribution noncommercial (?:sharealike|share alike)"),
+    ("cc-by-nc-nd", r"creative commons attribution noncommercial (?:noderivatives|no derivatives)"),
+    ("cc", r"creative commons"),
+    ("odbl", r"odbl"),
+    ("odbl", r"open database"),
+    ("odc-by", r"odc by"),
+    ("pddl", r"pddl"),
+    ("ofl", r"(?:sil )?open font"),
+    ("python", r"(?:python software foundation|psf)"),
+    ("python", r"python"),
+    ("php", r"php"),
+    ("ruby", r"ruby"),
+    ("perl", r"perl(?: 5)?"),
+    ("postgresql", r"postgresql"),
+    ("openssl", r"openssl"),
+    ("curl", r"curl"),
+    ("ncsa", r"(?:university of illinois ncsa|ncsa)(?: open source)?"),
+    ("ms-pl", r"microsoft public"),
+    ("ms-rl", r"microsoft reciprocal"),
+    ("apsl", r"apple public source"),
+    ("sissl", r"sun industry standards source"),
+    ("npl", r"netscape public"),
+    ("qpl", r"q public"),
+    ("lppl", r"latex project public"),
+    ("sspl", r"server side public"),
+    ("busl", r"business source"),
+    ("elastic", r"elastic"),
+    ("commons-clause", r"commons clause"),
+    ("mulan", r"mulan (?:permissive software|psl)"),
+    ("cecill", r"cecill"),
+    ("proprietary", r"proprietary"),
+    ("llama", r"llama(?: [23])? community"),
+    ("openrail", r"(?:open ?rail|creativeml open rail|bigscience open rail) ?m?"),
 )
 
 VERSION = r"(?: (?:version |v ?)?(?P<v>\d+(?: \d+)?)(?: (?:or later|only|unported|international|generic))?)?"
@@ -125,45 +131,99 @@ FORMS = (
     (2, 0.85, r"{name}(?: v?\d+(?: \d+)?)? (?:public )?licen[cs]es?" + VERSION),
     (1, 0.6, r"(?:licen[cs]e|licen[cs]ed as) {name}" + VERSION),
 )
-#: rules that need no family: (label, word that must occur, expression, priority, weight)
-OTHERS = (
-    ("public-domain", "domain", r"(?:released (?:in)?to|placed in|dedicated to|in) the public domain", 3, 0.9),
-    ("all-rights-reserved", "reserved", r"all rights reserved", 2, 0.7),
-    ("copyright", "copyright", r"copyright (?:c )?(?:\d{4})", 2, 0.6),
-    ("mit", "charge", r"permission is hereby granted free of charge to any person obtaining a copy", 5, 0.95),
-    ("isc", "purpose", r"permission to use copy modify and or distribute this software for any purpose", 5, 0.95),
-    ("bsd", "redistribution", r"redistribution and use in source and binary forms", 5, 0.9),
-    ("bsd-3-clause", "neither", r"neither the name of .{1,80}? nor the names of its contributors", 5, 0.9),
-    ("wtfpl", "want", r"do what the fuck you want to", 5, 0.95),
-    ("cc0", "waived", r"waived all copyright and related or neighboring rights", 5, 0.9),
-    ("warranty-disclaimer", "warranty", r"(?:as is )?without (?:any )?warranty of any kind", 1, 0.4),
-)
-#: A text without any of these has no detection; a substring test for each comes before everything else.
-MARKS = ("licen", " under ", "spdx", "public domain", "all rights reserved", "copyright", "permission", "redistribution", "warranty", "neither the name", "waived", "want to")
+
+
+Rule = tuple[int, float, str, re.Pattern, tuple[frozenset[str], ...]]
+
+
+def _needed(tree, literal: str = "") -> tuple[list[frozenset[str]], str | None]:
+    """What every match of a parsed expression holds: sets of strings of which one each must occur, and the whole match if it is one string."""
+    sets: list[frozenset[str]] = []
+    run, exact = literal, True
+
+    def close() -> None:
+        nonlocal run
+        if run.strip():
+            sets.append(frozenset((run,)))
+        run = ""
+
+    for op, arg in tree:
+        name = str(op)
+        if name == "LITERAL":
+            run += chr(arg)
+            continue
+        inner = None
+        if name == "SUBPATTERN":
+            inner, whole = _needed(arg[-1])
+            if whole is not None:
+                run += whole
+                continue
+        exact = False
+        close()
+        if name == "SUBPATTERN":
+            sets += inner
+        elif name == "BRANCH":
+            best = [max(_needed(branch)[0], key=_weight, default=None) for branch in arg[1]]
+            if None not in best:
+                sets.append(frozenset().union(*best))
+        elif name in ("MAX_REPEAT", "MIN_REPEAT") and arg[0]:
+            sets += _needed(arg[2])[0]
+    whole = run if exact else None
+    close()
+    return sets, whole
+
+
+def _weight(strings: frozenset[str]) -> tuple[int, int]:
+    """Telling sets first: those whose shortest string is longest."""
+    return min(map(len, strings)), -len(strings)
+
+
+def needed(expression: str) -> tuple[frozenset[str], ...]:
+    """Sets of strings of which every match, with the spaces around it, holds one each; short strings only if need be."""
+    tree = list(parser.parse(expression))
+    space = (parser.LITERAL, 32) if hasattr(parser, "LITERAL") else tree[0]
+    sets, _ = _needed([space, *tree, space])
+    ranked = sorted(sets, key=_weight, reverse=True)
+    return tuple(x for k, x in enumerate(ranked) if not k or min(len(y.strip()) for y in x) > 2)
 
 
 @lru_cache(maxsize=1)
-def rules() -> list[tuple[int, float, str, str, re.Pattern]]:
-    """(priority, weight, label, keyword, expression over words), in the order in which they apply."""
-    made = [(p, w, label, key, form.replace("{name}", name)) for label, key, name in FAMILIES for p, w, form in FORMS]
-    made += [(p, w, label, key, text) for label, key, text, p, w in OTHERS]
-    return [(p, w, label, key, re.compile(rf"(?<![^ ])(?:{text})(?![^ ])")) for p, w, label, key, text in sorted(made, key=lambda r: -r[0])]
+def rules() -> list[Rule]:
+    """(priority, weight, label, expression over words, what it needs), in the order in which they apply."""
+    made = [(p, w, label, form.replace("{name}", name)) for label, name in FAMILIES for p, w, form in FORMS]
+    made += [(p, w, label, text) for label, text, p, w in signatures()]
+    return [(p, w, label, re.compile(rf"(?<![^ ])(?:{text})(?![^ ])"), needed(text)) for p, w, label, text in sorted(made, key=lambda r: -r[0])]
 
 
 @lru_cache(maxsize=1)
 def prefilter():
-    """Automaton over the rules' keywords; a hit gives the numbers of the rules that it opens."""
+    """Automaton over all strings that rules need; by string, the rules whose most telling set has it; their other sets."""
     import ahocorasick
 
-    opened: dict[str, list[int]] = {}
-    for k, (_, _, _, key, _) in enumerate(rules()):
-        for word in key.split("|"):
-            opened.setdefault(word, []).append(k)
+    numbers: dict[str, int] = {}
+    for *_, sets in rules():
+        for strings in sets:
+            for x in strings:
+                numbers.setdefault(x, len(numbers))
     automaton = ahocorasick.Automaton()
-    for key, numbers in opened.items():
-        automaton.add_word(f" {key} ", numbers)
+    for x, k in numbers.items():
+        automaton.add_word(x, k)
     automaton.make_automaton()
-    return automaton
+    by_string: dict[int, list[int]] = {}
+    others = []
+    for r, (*_, sets) in enumerate(rules()):
+        for x in sets[0]:
+            by_string.setdefault(numbers[x], []).append(r)
+        others.append([frozenset(numbers[x] for x in strings) for strings in sets[1:]])
+    return automaton, by_string, others
+
+
+def opened(words: str) -> list[int]:
+    """Numbers of the rules that may match, in a text from normalise()."""
+    automaton, by_string, others = prefilter()
+    seen = {k for _, k in automaton.iter(words)}
+    first = {r for k in seen for r in by_string.get(k, ())}
+    return sorted(r for r in first if not any(seen.isdisjoint(x) for x in others[r]))
 
 
 _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -175,41 +235,75 @@ def normalise(text: str) -> str:
     return f" {b' '.join(words).decode()} " if words else " "
 
 
+def word_numbers(words: str, places: Iterable[int]) -> dict[int, int]:
+    """For places in a text from normalise(): how many spaces there are before each, in one pass."""
+    out, at, n = {}, 0, 0
+    for place in sorted(set(places)):
+        n += words.count(" ", at, place)
+        out[place], at = n, place
+    return out
+
+
 def base_places(words: str) -> list[tuple[int, str]]:
     """(first word, label) for every place of a base phrase, in a text from normalise()."""
-    out = []
+    found = []
     for phrase, label in BASE_PHRASES:
         at = words.find(f" {phrase} ")
         while at >= 0:
-            out.append((words.count(" ", 0, at), label))
+            found.append((at, label))
             at = words.find(f" {phrase} ", at + 1)
-    return out
+    number = word_numbers(words, (at for at, _ in found))
+    return [(number[at], label) for at, label in found]
 
 
-def detections(words: str) -> list[tuple[int, int, str, float]]:
-    """(first word, one past the last, label, weight) that survive, in a text from normalise()."""
-    if not any(m in words for m in MARKS):
-        return []
-    numbers = sorted({k for _, opened in prefilter().iter(words) for k in opened})
+def _outermost(found: list[tuple]) -> list[tuple]:
+    """Those of (..., start, end, label, weight) in this order that do not lie within an earlier one that was kept."""
+    starts = sorted({x[2] for x in found})
+    reach = [0] * (len(starts) + 1)  # a Fenwick tree of the largest end of those kept, by start
+    kept = []
+    for x in found:
+        start, end = x[2], x[3]
+        k = bisect_right(starts, start)
+        at, most = k, 0
+        while at:
+            most = max(most, reach[at])
+            at -= at & -at
+        if most >= end:
+            continue
+        kept.append(x)
+        while k < len(reach):
+            reach[k] = max(reach[k], end)
+            k += k & -k
+    return kept
+
+
+def detections(words: str, numbers: list[int] | None = None) -> list[tuple[int, int, str, float]]:
+    """(first word, one past the last, label, weight) that survive, in a text from normalise().
+
+    `numbers` are those of the rules to try; by default those that the prefilter opens.
+    """
     found = []
-    for k in numbers:
-        priority, weight, label, _, expression = rules()[k]
+    for k in opened(words) if numbers is None else numbers:
+        priority, weight, label, expression, _ = rules()[k]
         for m in expression.finditer(words, 1, len(words) - 1):
-            version = m.groupdict().get("v")
+            groups = m.groupdict()
+            version = groups.get("v") or groups.get("n")
             found.append((-priority, m.start() - m.end(), m.start(), m.end(), label + (f"-{version.replace(' ', '.')}" if version else ""), weight))
-    kept: list[tuple[int, int, int, str, float]] = []
-    for priority, _, start, end, label, weight in sorted(found):
-        if not any(a <= start and end <= b for a, b, *_ in kept):
-            kept.append((start, end, priority, label, weight))
-    return [(words.count(" ", 0, a) - 1, words.count(" ", 0, b), label, weight) for a, b, _, label, weight in sorted(kept)]
+    if not found:
+        return []
+    kept = sorted((start, end, label, weight) for _, _, start, end, label, weight in _outermost(sorted(found)))
+    number = word_numbers(words, (x for a, b, *_ in kept for x in (a, b)))
+    return [(number[a] - 1, number[b], label, weight) for a, b, label, weight in kept]
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: n_words, the base phrases' places, and the labels of base phrases and rules together.
 
     score is the chance that at least one detection holds, taking their weights (0.9 for a base phrase) as
-    independent; 0 without any. A null text counts as empty; repeated rows are scanned each for itself. `spans`
-    lists the rules' detections as first_word-end_word:label.
+    independent; 0 without any. A null text counts as empty; a text may be as long as a cell can be. Detections that
+    tie in priority, length and place are settled by label. Repeated rows are scanned each for itself; other columns,
+    whatever their names, are not read; an empty table gives an empty result. `spans` lists the rules' detections as
+    first_word-end_word:label.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 

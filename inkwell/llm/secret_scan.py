@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from math import log2
 
 import pyarrow as pa
@@ -34,16 +35,20 @@ ALLOWED = re.compile(
     r"|[0-9]+(?:[-/_][0-9]+)*"  # numbers, dates
 )
 NAMED_DIGEST = re.compile(r"(?i)(?:commit|sha-?1|sha-?256|sha-?512|md5|checksum|digest|etag|revision)\W{0,4}$")
-ADDRESS = re.compile(r"(?i)https?://\S*$|www\.\S*$")
+#: No name with what may follow it is longer.
+NAMED = len("checksum") + 4
+DIGIT = re.compile(r"[0-9]")
+ADDRESS = re.compile(r"(?i)https?://|www\.")
+#: Strings without white space that are long enough to hold a candidate.
+LONG = re.compile(r"\S{20,}")
 _TERM = [0.0] + [n * log2(n) for n in range(1, WINDOW + 1)]
 
 
-def window_entropies(s: str, width: int = WINDOW) -> list[float]:
+def window_entropies(s: str, width: int = WINDOW) -> Iterator[float]:
     """Shannon entropy, in bits per character, of every window of `width` characters, from running counts."""
     term = _TERM if width <= WINDOW else [0.0] + [n * log2(n) for n in range(1, width + 1)]
     counts: dict[str, int] = {}
-    total = 0.0
-    out = []
+    total, top = 0.0, log2(width)
     for k, c in enumerate(s):
         if k >= width:
             old = s[k - width]
@@ -54,21 +59,27 @@ def window_entropies(s: str, width: int = WINDOW) -> list[float]:
         total += term[n + 1] - term[n]
         counts[c] = n + 1
         if k >= width - 1:
-            out.append(log2(width) - total / width)
-    return out
+            yield top - total / width
 
 
 def entropy_spans(text: str) -> list[tuple[int, int]]:
+    """Spans of high entropy that the allow list does not know; time and memory grow with the text's length only."""
     out = []
-    for m in CANDIDATE.finditer(text):
-        s = m.group()
-        before = text[max(0, m.start() - 200) : m.start()]
-        if ALLOWED.fullmatch(s) or NAMED_DIGEST.search(before[-24:]) or ADDRESS.search(before):
-            continue
-        limit = next(limit for _, shape, limit in CLASSES if shape.fullmatch(s))
-        high = [k for k, h in enumerate(window_entropies(s)) if h >= limit]
-        if high and any(c.isdigit() for c in s):
-            out.append((m.start() + high[0], m.start() + high[-1] + WINDOW))
+    for long in LONG.finditer(text):
+        address = ADDRESS.search(text, long.start(), long.end())
+        for m in CANDIDATE.finditer(text, long.start(), long.end()):
+            if address and address.end() <= m.start():
+                break  # part of an address, and so is all that follows it
+            s = m.group()
+            if ALLOWED.fullmatch(s) or not DIGIT.search(s) or NAMED_DIGEST.search(text[max(0, m.start() - NAMED) : m.start()]):
+                continue
+            limit = next(limit for _, shape, limit in CLASSES if shape.fullmatch(s))
+            first = last = -1
+            for k, h in enumerate(window_entropies(s)):
+                if h >= limit:
+                    first, last = k if first < 0 else first, k
+            if last >= 0:
+                out.append((m.start() + first, m.start() + last + WINDOW))
     return out
 
 
@@ -78,7 +89,14 @@ def find_secrets(text: str) -> list[tuple[int, int, int]]:
     base = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m.group(2)) >= 8] if any(w in lower for w in ("passw", "secret", "token", "api")) else []
     base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     base += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    more = [(a, 3, b) for a, b in entropy_spans(text) if not any(a < e and s < b for s, _, e in base)]
+    base.sort()
+    more, at, reach = [], 0, 0  # spans of both lists are in order; `reach` is the furthest end of the base spans so far
+    for a, b in entropy_spans(text):
+        while at < len(base) and base[at][0] < b:
+            reach = max(reach, base[at][2])
+            at += 1
+        if reach <= a:
+            more.append((a, 3, b))
     return sorted(base + more)
 
 
@@ -90,7 +108,9 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id, n_assign, n_access, n_hex, n_entropy, base_sha256, spans of every text.
 
     Places are in code points, ends exclusive; base_sha256 digests the spans of the three patterns. A null text
-    counts as empty. Repeated rows are scanned each for itself; an empty table gives an empty result.
+    counts as empty; a text may be as long as a cell can be. Spans that begin together are listed as KINDS lists
+    them. Repeated rows are scanned each for itself; other columns, whatever their names, are not read; an empty
+    table gives an empty result.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 

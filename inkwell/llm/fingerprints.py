@@ -3,7 +3,7 @@
 A text is the multiset of its paragraphs (its lines). Every paragraph is hashed to a wide vector: LANES counters,
 one for each bit of the 64-bit hashes of its word triples (plus one where the bit is set, minus one where it is
 not), and four 64-bit numbers from a cryptographic digest of the paragraph. A document's fingerprint is the sum of
-its paragraphs' vectors, counters modulo 2^16, numbers modulo 2^64. So it does not depend on the order of the
+its paragraphs' vectors, counters modulo 2^32, which no text that fits a cell goes round, numbers modulo 2^64. So it does not depend on the order of the
 paragraphs, and inserting or deleting one adds or subtracts its vector. The numbers settle equality; the counters
 are a sketch whose inner products estimate how much two texts share.
 """
@@ -19,10 +19,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import SLICE_ROWS
+from inkwell.llm.common import SLICE_ROWS, bound_batches
 from inkwell.scratch import materialize
 
 LANES = 64
+#: Bytes of the input, as Spark estimates them, that make a range, and the most ranges, beyond the session's own number.
+RANGE_BYTES, MOST_RANGES = 64 << 20, 20_000
 
 
 def paragraph_vector(paragraph: str) -> tuple[np.ndarray, np.ndarray]:
@@ -42,7 +44,7 @@ def paragraph_vector(paragraph: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Fingerprint:
-    """Sum of paragraph vectors; `add` with sign -1 deletes."""
+    """Sum of paragraph vectors; `add` takes how often to insert, below zero to delete."""
 
     def __init__(self, counters: np.ndarray | None = None, numbers: np.ndarray | None = None):
         self.counters = np.zeros(LANES, np.int64) if counters is None else counters
@@ -51,16 +53,13 @@ class Fingerprint:
     def copy(self) -> Fingerprint:
         return Fingerprint(self.counters.copy(), self.numbers.copy())
 
-    def add(self, vector: tuple[np.ndarray, np.ndarray], sign: int = 1) -> Fingerprint:
-        self.counters += sign * vector[0]
-        self.numbers = self.numbers + vector[1] if sign > 0 else self.numbers - vector[1]
+    def add(self, vector: tuple[np.ndarray, np.ndarray], times: int = 1) -> Fingerprint:
+        self.counters += times * vector[0]
+        self.numbers = self.numbers + vector[1] * np.uint64(times % (1 << 64))
         return self
 
     def hex(self) -> str:
-        return (self.counters & 0xFFFF).astype(">u2").tobytes().hex() + self.numbers.astype(">u8").tobytes().hex()
-
-    def signed(self) -> np.ndarray:
-        return ((self.counters + 0x8000) & 0xFFFF) - 0x8000
+        return (self.counters & 0xFFFFFFFF).astype(">u4").tobytes().hex() + self.numbers.astype(">u8").tobytes().hex()
 
 
 def of_text(text: str) -> Fingerprint:
@@ -80,9 +79,7 @@ def edited_fingerprint(old: Fingerprint, before: str, after: str) -> Fingerprint
     out = old.copy()
     for p, n in change.items():
         if n:
-            vector = paragraph_vector(p)
-            for _ in range(abs(n)):
-                out.add(vector, 1 if n > 0 else -1)
+            out.add(paragraph_vector(p), n)
     return out
 
 
@@ -90,7 +87,7 @@ def likeness(a: Fingerprint, b: Fingerprint) -> float:
     """0 to 1: 1 for equal fingerprints, about the share of word triples in common otherwise."""
     if np.array_equal(a.numbers, b.numbers):
         return 1.0
-    x, y = a.signed().astype(float), b.signed().astype(float)
+    x, y = a.counters.astype(float), b.counters.astype(float)
     norm = float(x @ x + y @ y)
     return round(min(1.0, max(0.0, 2 * float(x @ y) / norm)), 6) if norm else 0.0
 
@@ -111,14 +108,20 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     The edited text is the text whose last floor(n_chars / 4) code points are replaced by the first as many of the
     next document in ascending doc_id; after the last document comes the first. Rows are dealt in ranges of doc_id
     and sorted there, each text moving once; what the last row of a range needs from the next range is patched in
-    from the ranges' first and last rows, which are few. Null texts count as empty; null ids come first; rows with
-    equal ids follow each other by text. An empty table gives an empty result.
+    from the ranges' first and last rows, which are few. Null texts count as empty; texts may be as long as a cell
+    can be; null ids come first; rows with equal ids follow each other by their texts' xxhash64, and equal rows by a
+    number of their own, so that they too are spread over ranges. Other columns, whatever their names, are not read.
+    An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
-    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    plain = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ranged = plain.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
+    plain = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    size = int(str(plain._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // RANGE_BYTES, MOST_RANGES))
+    order = ["doc_id", "hash", "number"]
+    keyed = plain.withColumn("hash", F.xxhash64("text")).withColumn("number", F.monotonically_increasing_id())
+    ranged = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text").withColumn("part", F.spark_partition_id())
     names = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 

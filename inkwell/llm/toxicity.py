@@ -43,9 +43,17 @@ class OrdinalModel:
         return logistic(scores[:, None] - self.thresholds[None])
 
 
-def grade_toxic(docs: list[list[int]], toxic: np.ndarray, grades: int) -> np.ndarray:
+def _seen(docs: list[np.ndarray], chosen: np.ndarray) -> np.ndarray:
+    """How many of the chosen documents hold each feature."""
+    out = np.zeros(FEATURES, np.int64)
+    for k in np.flatnonzero(chosen):
+        np.add.at(out, docs[k], 1)
+    return out
+
+
+def grade_toxic(docs: list[np.ndarray], toxic: np.ndarray, grades: int) -> np.ndarray:
     """0 for documents that are not toxic, else 1 to `grades` by the number of marking words."""
-    seen = [np.bincount(np.concatenate([np.array(d, int) for d, t in zip(docs, toxic, strict=True) if t == flag] or [np.zeros(0, int)]), minlength=FEATURES) for flag in (0, 1)]
+    seen = [_seen(docs, toxic == flag) for flag in (0, 1)]
     n = np.bincount(toxic, minlength=2) + 1
     marks = (seen[1] >= 5) & (np.log((seen[1] + 0.5) / n[1]) - np.log((seen[0] + 0.5) / n[0]) > 3)
     hits = np.array([int(marks[d].sum()) if t else 0 for d, t in zip(docs, toxic, strict=True)])
@@ -53,36 +61,42 @@ def grade_toxic(docs: list[list[int]], toxic: np.ndarray, grades: int) -> np.nda
     return np.where(toxic == 1, 1 + (hits[:, None] > steps[None]).sum(1), 0)
 
 
-def telling(docs: list[list[int]], positive: np.ndarray, least_z: float) -> np.ndarray:
+def telling(docs: list[np.ndarray], positive: np.ndarray, least_z: float) -> np.ndarray:
     """Which features' log-odds between positive and other documents are `least_z` standard errors from zero."""
-    seen = [np.bincount(np.concatenate([np.array(d, int) for d, t in zip(docs, positive, strict=True) if t == flag] or [np.zeros(0, int)]), minlength=FEATURES) + 0.5 for flag in (False, True)]
+    seen = [_seen(docs, positive == flag) + 0.5 for flag in (False, True)]
     odds = np.log(seen[1] / ((positive == 1).sum() + 1)) - np.log(seen[0] / ((positive == 0).sum() + 1))
     return np.abs(odds) >= least_z * np.sqrt(1 / seen[0] + 1 / seen[1])
 
 
-def fit(docs: list[list[int]], y: np.ndarray, grades: int, rounds: int = 300, rate: float = 0.1, ridge: float = 1e-5, least_z: float = 3.0) -> OrdinalModel:
+def loss(p: np.ndarray, row: np.ndarray, col: np.ndarray, y: np.ndarray, grades: int, ridge: float) -> tuple[float, np.ndarray]:
+    """Mean negative log likelihood with the penalty, and its gradient; `p` is the weights and then the thresholds."""
+    n, m = len(y), len(p) - grades
+    s = np.bincount(row, p[col], n)
+    a = np.hstack([np.ones((n, 1)), logistic(s[:, None] - p[None, m:]), np.zeros((n, 1))])
+    low, high = a[np.arange(n), y], a[np.arange(n), y + 1]
+    chance = np.maximum(low - high, 1e-9)
+    grad = np.zeros_like(p)
+    grad[:m] = np.bincount(col, (low + high - 1)[row], m) / n + ridge * p[:m]
+    for k in range(grades):
+        grad[m + k] = (np.where(y == k + 1, low * (1 - low), 0) - np.where(y == k, high * (1 - high), 0)) @ (1 / chance) / n
+    return float(-np.log(chance).mean() + ridge / 2 * p[:m] @ p[:m]), grad
+
+
+def fit(docs: list[np.ndarray], y: np.ndarray, grades: int, rounds: int = 300, rate: float = 0.1, ridge: float = 1e-5, least_z: float = 3.0) -> OrdinalModel:
     """Maximum likelihood with a ridge penalty, by Adam over all rows, on the features that tell grade 0 from the rest.
 
     Without that choice hundreds of thousands of rare words fit any sample, and few marking words keep a weight.
     """
-    row = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    col = np.array([i for d in docs for i in d], int)
     kept = telling(docs, y > 0, least_z)
-    row, col = row[kept[col]], col[kept[col]]
-    used, col = np.unique(col, return_inverse=True)
+    chosen = [np.asarray(d, int)[kept[d]] for d in docs]
+    row = np.repeat(np.arange(len(docs)), [len(d) for d in chosen])
+    used, col = np.unique(np.concatenate([np.zeros(0, int), *chosen]), return_inverse=True)
     n, m = len(docs), len(used)
     share = np.array([(y >= k).mean() if n else 0.5 for k in range(1, grades + 1)]).clip(1e-3, 1 - 1e-3)
     p = np.concatenate([np.zeros(m), np.maximum.accumulate(-np.log(share / (1 - share)) + np.arange(grades) * 1e-3)])
     first, second = np.zeros_like(p), np.zeros_like(p)
     for step in range(1, rounds + 1 if n else 1):
-        s = np.bincount(row, p[col], n)
-        a = np.hstack([np.ones((n, 1)), logistic(s[:, None] - p[None, m:]), np.zeros((n, 1))])
-        low, high = a[np.arange(n), y], a[np.arange(n), y + 1]
-        chance = np.maximum(low - high, 1e-9)
-        grad = np.zeros_like(p)
-        grad[:m] = np.bincount(col, (low + high - 1)[row], m) / n + ridge * p[:m]
-        for k in range(grades):
-            grad[m + k] = (np.where(y == k + 1, low * (1 - low), 0) - np.where(y == k, high * (1 - high), 0)) @ (1 / chance) / n
+        _, grad = loss(p, row, col, y, grades, ridge)
         first = 0.9 * first + 0.1 * grad
         second = 0.999 * second + 0.001 * grad**2
         p -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
@@ -104,7 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, grades:
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = sorted(map_batches(plain, lambda: work, f"doc_id {kind}, ids binary, toxic int").collect(), key=lambda r: (r["doc_id"], r["ids"]))
-    found = [np.frombuffer(r["ids"], "<u4").tolist() for r in rows]
+    found = [np.frombuffer(r["ids"], "<u4") for r in rows]
     toxic = np.array([min(1, max(0, r["toxic"])) for r in rows], int)
     return fit(found, grade_toxic(found, toxic, grades), grades)
 
@@ -112,7 +126,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, grades:
 def score_toxicity(docs: DataFrame, model: OrdinalModel, limit: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, severity (expected grade), grade (the most that is likelier than not), p_toxic, toxic, for every row.
 
-    Null and empty texts have no features and get the thresholds' own chances. An empty table gives an empty result.
+    Null and empty texts have no features and get the thresholds' own chances; texts may be as long as a cell can be.
+    Repeated rows are scored each for itself; other columns, whatever their names, are not read. An empty table gives
+    an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))
     kind = docs.schema[id_col].dataType.simpleString()

@@ -6,8 +6,12 @@ fingerprints, sorted by population counts, are laid out in blocks of BLOCK and t
 compared with exclusive-or and bit counts on whole arrays, unless population counts rule it out: those of the whole
 word, of its halves, its quarters and its bytes each give a lower bound on the distance of any two members, and a
 pair of tiles (or of blocks) whose bound exceeds the radius is skipped. So no link is lost, and no pair is sent
-anywhere: a task compares two blocks and returns a spanning forest of the links it found, at most one row for each
-fingerprint, from which components are made by distributed star rounds.
+anywhere: blocks are dealt in panels, a task gets two panels (or one), each block once, compares their blocks and
+returns a spanning forest of the links it found, at most one row for each fingerprint, from which components are made
+by distributed star rounds.
+
+Comparisons grow with the square of the distinct fingerprints that the bounds leave. What is sent grows with the
+fingerprints times the number of panels, and there are n / (BLOCK PANEL) of these once each holds PANEL blocks.
 """
 
 from __future__ import annotations
@@ -23,23 +27,33 @@ from inkwell.llm.components import components
 from inkwell.scratch import materialize
 
 BLOCK, TILE = 16384, 256
+#: Blocks of a panel at most, and panels that are made at least if there are blocks for them.
+PANEL, PANELS = 16, 12
 _SLAB = 8192
 
 
 def fingerprint(text: str, width: int = 3, seed: int = 42) -> int:
     """The 64-bit fingerprint, unsigned: A-Z lowered, words between ASCII spaces, shingles of `width` words."""
+    return majority(shingle_hashes(text, width, seed))
+
+
+def shingle_hashes(text: str, width: int, seed: int) -> np.ndarray:
+    """XXH64 of each shingle in turn, repeats included; a text of fewer words is one shingle, of none has none."""
     words = text.encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     data = b" ".join(words)
     n = max(1, len(words) - width + 1)
-    if n == 1:
-        return xxhash.xxh64_intdigest(data, seed)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = [0, *ends[: n - 1].tolist()]
-    stops = (ends[width - 1 :] - 1).tolist()
+    stops = (ends[min(width, len(words)) - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(data[a:b], seed) for a, b in zip(starts, stops, strict=True)], "<u8")
+    return np.array([digest(data[a:b], seed) for a, b in zip(starts, stops, strict=True)], "<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The number whose bits are set where they are in over half of the hashes; zero for none."""
+    n = len(hashes)
     ones = np.zeros(64, np.int64)
     for at in range(0, n, _SLAB):
         ones += np.unpackbits(hashes[at : at + _SLAB].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -145,20 +159,36 @@ def links(classes: DataFrame, n: int, radius: int = 3) -> DataFrame:
     read = lambda at: np.array([np.frombuffer(r[at], np.int16) for r in ranges]).reshape(-1, 15)
     shared = spark.sparkContext.broadcast((np.array([r[0] for r in ranges]), read(1), read(2)))
 
+    size = max(1, min(PANEL, len(ranges) // PANELS))
+    panels = -(-len(ranges) // size)
+
     def deal(batches):
+        """Each block once for every pair of panels that it may have links in; `at` is its place in the order."""
         numbers, low, high = shared.value
         for batch in batches:
             for block, fps in zip(batch.column("block").to_pylist(), batch.column("fps").to_pylist(), strict=True):
                 at = int(np.searchsorted(numbers, block))
-                for k in np.flatnonzero(apart(low[at : at + 1], high[at : at + 1], low, high)[0] <= radius).tolist():
-                    yield batch_of(a=pa.array([min(at, k)]), b=pa.array([max(at, k)]), own=pa.array([at]), fps=pa.array([fps], pa.binary()))
+                near = np.flatnonzero(apart(low[at : at + 1], high[at : at + 1], low, high)[0] <= radius)
+                for p in np.unique(near // size).tolist():
+                    own = at // size
+                    yield batch_of(a=pa.array([min(own, p)]), b=pa.array([max(own, p)]), at=pa.array([at]), fps=pa.array([fps], pa.binary()))
 
     def compare(table: pa.Table) -> pa.Table:
-        sides = {o: np.frombuffer(f, "<u8") for o, f in zip(table.column("own").to_pylist(), table.column("fps").to_pylist(), strict=True)}
-        u, v = linked(*list(sides.values()) if len(sides) == 2 else [*sides.values(), None], radius)
+        numbers, low, high = shared.value
+        a, b = table.column("a")[0].as_py(), table.column("b")[0].as_py()
+        sides = dict(sorted((o, np.frombuffer(f, "<u8")) for o, f in zip(table.column("at").to_pylist(), table.column("fps").to_pylist(), strict=True)))
+        found = [(np.zeros(0, "<u8"), np.zeros(0, "<u8"))]
+        for x in sides:
+            # Pairs within one panel belong to that panel's own task.
+            own = [y for y in sides if (y >= x if a == b else x // size == a and y // size == b)]
+            for y in (own[k] for k in np.flatnonzero(apart(low[x : x + 1], high[x : x + 1], low[own], high[own])[0] <= radius)) if own else ():
+                found.append(linked(sides[x], None if x == y else sides[y], radius))
+        u, v = (np.concatenate(c) for c in zip(*found, strict=True))
         return pa.table({"u": u.view("<i8"), "v": v.view("<i8")})
 
-    return blocks.select("block", "fps").mapInArrow(deal, "a long, b long, own long, fps binary").groupBy("a", "b").applyInArrow(compare, "u long, v long")
+    dealt = blocks.select("block", "fps").mapInArrow(deal, "a long, b long, at long, fps binary")
+    #: no more partitions than there are pairs of panels
+    return dealt.repartition(max(1, panels * (panels + 1) // 2), "a", "b").groupBy("a", "b").applyInArrow(compare, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

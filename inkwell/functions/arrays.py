@@ -33,6 +33,12 @@ def top_two_margin(probabilities: Column) -> Column:
     return F.get(ranked, F.lit(0)) - F.coalesce(F.get(ranked, F.lit(1)), F.lit(0.0))
 
 
+def softmax(values: Column) -> Column:
+    """Shares of the exponentials of an array, taken from the greatest so that none overflows (M5)."""
+    parts = F.transform(values, lambda v: F.exp(v - F.array_max(values)))
+    return F.transform(parts, lambda p: p / F.aggregate(parts, F.lit(0.0), lambda acc, x: acc + x))
+
+
 def in_order(rows: Column) -> Column:
     """collect_list of struct(ordinal, value) as the values by ordinal, first of equal ones only."""
     return F.array_distinct(F.transform(F.array_sort(rows), lambda x: x["value"]))

@@ -9,16 +9,21 @@ from inkwell.operators.validate import coverage, gather, not_unique, require
 
 
 def nest(rows: DataFrame, by: list[str], key: str, value: Column, name: str, order: Column | None = None) -> DataFrame:
-    """One row for each group with a map from key to value, in order."""
+    """One row for each group with a map from key to value, in order.
+
+    Values may be of any type, maps among them, so entries are put in order by (order, key) alone.
+    """
     entry = F.struct((F.col(key) if order is None else order).alias("o"), F.col(key).alias("k"), value.alias("v"))
-    pairs = F.transform(F.array_sort(F.collect_list(entry)), lambda e: F.struct(e["k"], e["v"]))
+    place = lambda e: F.struct(e["o"], e["k"])
+    rank = lambda a, b: F.when(place(a) < place(b), -1).when(place(a) > place(b), 1).otherwise(0)
+    pairs = F.transform(F.array_sort(F.collect_list(entry), rank), lambda e: F.struct(e["k"], e["v"]))
     return rows.groupBy(*by).agg(F.map_from_entries(pairs).alias(name))
 
 
 def equation_order(equation_id: Column) -> Column:
     """Numbers first and by value, then other ids."""
-    number = F.when(equation_id.rlike(r"^\d+$"), F.expr("try_cast(%s as bigint)" % "equation_id"))
-    return F.struct(number.isNull().alias("a"), number.alias("b"), equation_id.alias("c"))
+    digits = F.when(equation_id.rlike(r"^[0-9]+$"), F.ltrim(equation_id, F.lit("0")))
+    return F.struct(digits.isNull().alias("a"), F.coalesce(F.length(digits), F.lit(0)).alias("b"), F.coalesce(digits, F.lit("")).alias("c"), equation_id.alias("d"))
 
 
 def outer_export(equations: DataFrame, meanings: DataFrame, symbols: DataFrame, relations: DataFrame) -> DataFrame:
@@ -58,6 +63,11 @@ def strict_export(equations: DataFrame, meanings: DataFrame, symbols: DataFrame,
     return outer_export(equations, meanings, symbols, relations)
 
 
+def grouped_reasons(statuses: DataFrame, status: str = "status", paper: str = "paper_id") -> DataFrame:
+    """One row for each status: how many papers have it, and which, in order."""
+    return statuses.groupBy(status).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(paper)).alias("papers"))
+
+
 def final_object(exported: DataFrame, papers: DataFrame) -> DataFrame:
     """(position, paper_id, json): one JSON object for each paper of the list, equations in their order, fields fixed (SNK4)."""
     body = F.struct("equation", "meaning", "symbols", "relations")

@@ -151,6 +151,36 @@ def equation_inputs(equations: DataFrame, tokenizer: Callable[[], object] = Word
     return equations.select(F.col("paper_id").cast("string").alias("paper_id"), "equation_id", "latex", "before", "after").mapInPandas(build, schema)
 
 
+EMBEDDED_KINDS = ("sentence", "raw_equation_neighborhood")
+
+
+def chunk_inputs(chunks: DataFrame, tokenizer: Callable[[], object] = WordTokenizer) -> DataFrame:
+    """Inputs for the chunks that are searched by vector: their text, its head if it is too long."""
+    @F.pandas_udf("struct<source_text:string,context_truncated:boolean>")
+    def head(frames: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        tok = tokenizer()
+        for s in frames:
+            yield pd.DataFrame([keep_head(tok, t, ROOM) for t in s], columns=["source_text", "context_truncated"])
+
+    kept = chunks.filter(F.col("chunk_type").isin(*EMBEDDED_KINDS)).withColumn("_t", F.trim("text")).filter("_t <> ''").withColumn("_h", head("_t"))
+    none = F.lit(None).cast("string")
+    return kept.select(
+        F.col("paper_id").cast("string").alias("paper_id"), none.alias("equation_id"), F.lit("sentence_chunk").alias("vector_kind"), "chunk_id", "sentence_id", none.alias("context_position"),
+        F.lit(0).alias("context_distance"), "_h.source_text", F.lit(False).alias("equation_truncated"), "_h.context_truncated",
+    )
+
+
+def meaning_similarities(candidates: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(paper_id, equation_id, sentence_id, cosine) of candidates with their equation's summary vector, where both have one."""
+    from inkwell.functions.arrays import dot
+    from inkwell.operators.vectors import candidate_vectors
+
+    summary = vectors.filter("vector_kind = 'summary'").select("paper_id", "equation_id", F.col("embedding").alias("_e"))
+    placed = candidate_vectors(candidates.withColumn("chunk_id", F.lit(None).cast("string")), vectors).filter("embedding is not null")
+    scored = placed.join(summary, ["paper_id", "equation_id"]).select("paper_id", "equation_id", "sentence_id", dot(F.col("embedding"), F.col("_e")).alias("cosine"))
+    return scored.groupBy("paper_id", "equation_id", "sentence_id").agg(F.max("cosine").alias("cosine"))
+
+
 def summary_similarities(vectors: DataFrame) -> DataFrame:
     """(paper_id, src, dst, similarity) of the summary vectors of a paper's equations."""
     from inkwell.functions.arrays import dot

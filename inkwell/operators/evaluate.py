@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkwell.operators.ordering import running_totals
+
 ratio = lambda a, b: F.when(b == 0, F.lit(0.0)).otherwise(a / F.nullif(b, F.lit(0)))
 
 
@@ -32,15 +34,20 @@ def threshold_sweep(rows: DataFrame, score: str, correct: str, precision: float
     """The threshold of widest coverage among those with the precision and at least `least` accepted rows.
 
     One row, or none if no threshold qualifies; of equal coverage the higher threshold. Rows are counted by distinct
-    score first, so the running sums go over the scores, not the rows.
+    score first, so the running sums go over the scores, not the rows, and no task sees them all.
     """
-    steps = rows.groupBy(F.col(score).alias("threshold")).agg(F.count("*").alias("n"), F.sum(F.col(correct).cast("long")).alias("good"))
-    down = Window.orderBy(F.col("threshold").desc())
-    swept = steps.select("threshold", F.sum("n").over(down).alias("accepted"), F.sum("good").over(down).alias("good"))
+    steps = rows.groupBy(F.col(score).alias("threshold")).agg(F.count("*").alias("n"), F.sum(F.col(correct).cast("long")).alias("right"))
+    summed = running_totals(steps, [-F.col("threshold")], _n=F.col("n"), _good=F.col("right"))
+    swept = summed.select("threshold", (F.col("_n") + F.col("n")).alias("accepted"), (F.col("_good") + F.col("right")).alias("good"))
     kept = swept.filter((F.col("good") / F.col("accepted") >= precision) & (F.col("accepted") >= least))
     return kept.orderBy(F.col("accepted").desc(), F.col("threshold").desc()).limit(1).select("threshold", "accepted", F.round(F.col("good") / F.col("accepted"), 6).alias("precision"))
 
 
+def length_summary(rows: DataFrame, by: str, length: Column) -> DataFrame:
+    """Least, median and greatest length of each group, and its rows."""
+    return rows.withColumn("_n", length).groupBy(by).agg(F.min("_n").alias("low"), F.median("_n").alias("middle"), F.max("_n").alias("high"), F.count("*").alias("n_docs"))
+
+
 def accepted_metrics(rows: DataFrame, accepted: Column, correct: Column) -> DataFrame:
     """Precision among accepted rows, coverage and abstention."""
     n, took, good = F.count("*"), F.count_if(accepted), F.count_if(accepted & correct)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from inkwell.functions import meaning
 from inkwell.functions.text import squeeze
 from inkwell.operators import retrieval
 from inkwell.operators.quality import hard_filter_reasons, penalty
+from inkwell.scratch import materialize
 
 # Cue patterns, weights and limits that decide the results. {label} is the equation's number.
 CUES = (
@@ -41,7 +43,9 @@ def has_cue(text: Column, label: Column) -> Column:
 def bm25_within(rows: DataFrame, group: list[str], query: Column, text: Column) -> DataFrame:
     """Add bm25: each row's score for its group's query over the best of the group; statistics are the group's rows."""
     w = Window.partitionBy(*group)
-    base = rows.withColumns({"_id": F.monotonically_increasing_id(), "_t": command_tokens(text), "_q": command_tokens(query)}).withColumns({"_n": F.count("*").over(w), "_mean": F.avg(F.size("_t")).over(w)})
+    # The rows' numbers are written with them: two branches would otherwise number the rows each for itself.
+    numbered = materialize(rows.withColumns({"_id": F.monotonically_increasing_id(), "_t": command_tokens(text), "_q": command_tokens(query)}), "within")
+    base = numbered.withColumns({"_n": F.count("*").over(w), "_mean": F.avg(F.size("_t")).over(w)})
     terms = base.select(*group, "_id", "_n", "_mean", F.greatest(F.size("_t"), F.lit(1)).alias("_dl"), "_t", "_q", F.explode(F.array_distinct(F.array_intersect("_t", "_q"))).alias("_term"))
     count = lambda a: F.size(F.filter(a, lambda x: x == F.col("_term")))
     terms = terms.withColumns({"_tf": count("_t"), "_qf": count("_q"), "_df": F.count("*").over(Window.partitionBy(*group, "_term"))})
@@ -161,6 +165,46 @@ def meaning_of(equation_id: str, query: str, results: list[dict], rerank: Rerank
     return {"meaning": span, "strategy": strategy, "selection": "mathbert_fallback" if fallback else "combined_score", "confidence": round(best["score"], 4), "source_text": best["text"], "features": best["features"], "reasons": reasons}
 
 
+SEARCHED_KINDS = ("sentence", "paragraph", "equation_neighborhood")
+
+
+def batch_search(chunks: DataFrame, equations: DataFrame, method: str = "bm25", top_k: int = 10, kinds: tuple[str, ...] = SEARCHED_KINDS) -> DataFrame:
+    """The evidence of every equation of every paper in one search: lexical_search() with a query for each (K2).
+
+    equations: paper_id, equation_id, text (its query), tokens. Chunks must be near the equation and of `kinds`.
+    """
+    none = F.lit(None).cast("array<string>")
+    asked = equations.select(
+        F.concat_ws("/", "paper_id", "equation_id").alias("qid"), "paper_id", "tokens", F.lit(top_k).alias("top_k"), none.alias("section_ids"),
+        F.array(*map(F.lit, kinds)).alias("chunk_types"), F.array("equation_id").alias("equation_ids"), none.alias("symbol_names"),
+    )
+    return lexical_search(chunks, asked, method)
+
+
+def first_meanings(queries: DataFrame, results: DataFrame, rerank: Callable[[], Reranker] | None = None) -> DataFrame:
+    """meaning_of() for every equation, as a DataFrame operator (K3 first generation, D1, D10).
+
+    queries: paper_id, equation_id, text. results: paper_id, equation_id, rank, score, chunk_id, text,
+    nearby_equation_ids: the top k of batch_search(), so one row holds an equation's. `rerank` makes a reranker once
+    for each task.
+    """
+    key = ["paper_id", "equation_id"]
+    listed = results.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("rank", "score", "chunk_id", "text", "nearby_equation_ids"))).alias("results"))
+    schema = "paper_id string, equation_id string, meaning string, strategy string, selection string, confidence double, source_text string, reasons array<string>"
+
+    def run(frames):
+        ranker = rerank() if rerank else None
+        for frame in frames:
+            rows = []
+            for q in frame.to_dict("records"):
+                found = [] if q["results"] is None or isinstance(q["results"], float) else [dict(r, nearby_equation_ids=list(r["nearby_equation_ids"] if r["nearby_equation_ids"] is not None else ())) for r in q["results"]]
+                done = meaning_of(q["equation_id"], q["text"] or "", found, ranker)
+                rows.append((q["paper_id"], q["equation_id"], done["meaning"], done["strategy"], done.get("selection", "none"), float(done["confidence"]), done["source_text"], list(done["reasons"])))
+            yield pd.DataFrame(rows, columns=[c.strip().split(" ")[0] for c in schema.split(",")])
+
+    return queries.select(*key, "text").join(listed, key, "left").mapInPandas(run, schema)
+
+
 def lexical_search(chunks: DataFrame, queries: DataFrame, method: str = "bm25") -> DataFrame:
     """Ranked chunks for queries with metadata filters (K1, K2, P1): qid, rank, score, method, and the chunk's columns.
 

@@ -54,6 +54,12 @@ def define_by_cue(text: pd.Series, aliases: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([definitions.define_by_cue(t or "", tuple(a) if a is not None else ()) for t, a in zip(text, aliases, strict=True)], columns=["definition", "strategy", "alias"])
 
 
+@F.pandas_udf(_L)
+def phrase_reasons(phrase: pd.Series) -> pd.Series:
+    """Why a phrase cannot stand for a concept."""
+    return phrase.map(lambda p: phrases.reject_reasons(p or ""))
+
+
 @F.pandas_udf(CLEANED)
 def clean_phrase(meaning: pd.Series, strategy: pd.Series, source_text: pd.Series) -> pd.DataFrame:
     """The concept phrase of a meaning, with its audit."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,9 +67,11 @@ def weak_label(canonical: str, forms: list[str], aliases: list[str], text: str,
     return phrase_of(text), RELATED if mentioned and present else NONE
 
 
-@F.udf(T.StructType([T.StructField("phrase", T.StringType()), T.StructField("label", T.StringType())]), useArrow=True)
-def _weak(canonical, forms, aliases, text, mentioned):
-    return weak_label(canonical or "", list(forms or []), list(aliases or []), text or "", bool(mentioned))
+@F.pandas_udf(T.StructType([T.StructField("phrase", T.StringType()), T.StructField("label", T.StringType())]))
+def _weak(canonical: pd.Series, forms: pd.Series, aliases: pd.Series, text: pd.Series, mentioned: pd.Series) -> pd.DataFrame:
+    listed = lambda v: list(v) if v is not None else []
+    rows = zip(canonical, forms, aliases, text, mentioned, strict=True)
+    return pd.DataFrame([weak_label(c or "", listed(f), listed(a), t or "", bool(m)) for c, f, a, t, m in rows], columns=["phrase", "label"])
 
 
 def training_rows(symbols: DataFrame, accepted: DataFrame, rejected: DataFrame) -> DataFrame:

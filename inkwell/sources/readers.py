@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkwell.operators.ordering import running_totals
 from inkwell.operators.validate import ValidationError, coverage, require
 
 
@@ -22,7 +23,15 @@ def ordered_papers(papers: DataFrame, expected: DataFrame) -> DataFrame:
     """The papers expected, by first position; raises if one is not in the list (SRC2)."""
     firsts = papers.groupBy("paper_id").agg(F.min("position").alias("position")).join(expected.select("paper_id").distinct(), "paper_id", "left_semi")
     require(coverage(expected, firsts, ["paper_id"]).select(F.col("paper_id").alias("entity"), "error"))
-    return firsts.select((F.row_number().over(Window.orderBy("position")) - 1).alias("position"), "paper_id")
+    return running_totals(firsts, [F.col("position")], _at=F.lit(1)).select(F.col("_at").cast("int").alias("position"), "paper_id")
+
+
+def paper_subset(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of the papers wanted; raises if one of these has none (F16)."""
+    ids = wanted.select("paper_id").distinct()
+    unknown = ids.join(rows.select("paper_id").distinct(), "paper_id", "left_anti")
+    require(unknown.select(F.col("paper_id").cast("string").alias("entity"), F.lit("unknown paper").alias("error")))
+    return rows.join(ids, "paper_id", "left_semi")
 
 
 def html_directory(spark: SparkSession, path: str) -> DataFrame:
@@ -45,8 +54,11 @@ def corpus(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.explode("m").alias("paper_id", "e")).select("paper_id", F.explode_outer("e").alias("equation_id", "v")).select("paper_id", "equation_id", "v.equation")
 
 
-def chunk_table(spark: SparkSession, path: str, kinds: tuple[str, ...] = ("sentence", "section_aware", "equation_neighborhood")) -> DataFrame:
-    """Chunks of some kinds; the filter reaches the Parquet scan (SRC11, F2)."""
+def chunk_table(spark: SparkSession, path: str, kinds: tuple[str, ...] = ("sentence", "section_context", "raw_equation_neighborhood")) -> DataFrame:
+    """Chunks of some kinds, by default those that answer questions; the filter reaches the Parquet scan (SRC11, F2).
+
+    Chunks of the first generation have the kinds of chunks.FIRST_KINDS.
+    """
     return spark.read.parquet(path).filter(F.col("chunk_type").isin(*kinds))
 
 

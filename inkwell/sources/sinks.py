@@ -20,6 +20,37 @@ def write_component(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     df.write.mode("overwrite").partitionBy("paper_id").format(fmt).save(path)
 
 
+def safe_ids(rows: DataFrame, id_col: str = "paper_id") -> DataFrame:
+    """The rows; raises if an id cannot name a file or directory."""
+    bad = rows.filter(~F.coalesce(F.col(id_col).cast("string"), F.lit("")).rlike(r"^[\w.:-]+$") | F.col(id_col).cast("string").isin(".", "..")).limit(1).collect()
+    if bad:
+        raise ValidationError(f"{id_col} cannot name a directory: {bad[0][id_col]}")
+    return rows
+
+
+def write_review_sample(rows: DataFrame, path: str) -> None:
+    """Rows for review as JSON lines with empty fields for the reviewer, in a file for each paper (SNK7)."""
+    ready = safe_ids(rows).withColumns({"gold_relation": F.lit("").cast("string"), "reviewer_note": F.lit("").cast("string")})
+    publish(ready, path, lambda d, p: d.write.partitionBy("paper_id").json(p))
+
+
+def write_vectors(vectors: DataFrame, path: str, model: str, pooling: str = "attention_mask_mean") -> None:
+    """Vectors with what made them: Parquet by paper, and a table of model, pooling, size and rows beside it (SNK2)."""
+    sizes = [r["n"] for r in vectors.select(F.size("embedding").alias("n")).distinct().limit(2).collect()]
+    if len(sizes) > 1:
+        raise ValidationError("vectors differ in size")
+    publish(safe_ids(vectors), f"{path}/vectors", lambda d, p: d.write.partitionBy("paper_id").parquet(p))
+    told = vectors.groupBy("paper_id").agg(F.count("*").alias("rows")).withColumns({"model": F.lit(model), "pooling": F.lit(pooling), "normalized": F.lit(True), "dimension": F.lit(sizes[0] if sizes else 0)})
+    publish(told, f"{path}/metadata", lambda d, p: d.write.json(p))
+
+
+def write_postprocessed(rows: DataFrame, source: str, target: str) -> None:
+    """Cleaned records beside their source, never in its place (K7)."""
+    if source.rstrip("/") == target.rstrip("/"):
+        raise ValueError("the output must be another directory than the input")
+    publish(safe_ids(rows), target, lambda d, p: d.write.partitionBy("paper_id").parquet(p))
+
+
 def publish(df: DataFrame, path: str, write: Callable[[DataFrame, str], None] | None = None) -> None:
     """Write beside the target, then put it in its place; the old result stays until then, and if writing fails (SNK3)."""
     spark = df.sparkSession

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkwell.functions.arrays import dot, jaccard, min_max
+from inkwell.functions.arrays import jaccard, min_max
 from inkwell.functions.text import bigrams, token_set, word_tokens
-from inkwell.operators import retrieval, selection, vectors
+from inkwell.operators import resolve, retrieval, selection, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,20 +78,18 @@ SELECT qid, doc_id, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     corpus = table(spark, sf_dir, "embeddings")
-    return corpus, corpus.filter("vec_id < 10").select(F.col("vec_id").alias("qid"), "embedding")
+    return corpus, corpus.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "embedding")
 
 
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten nearest vectors of each of the first ten."""
+    """The ten nearest vectors of each whose id is divisible by 20."""
     return vectors.cosine_top_k(*_vectors(spark, sf_dir), k=10)
 
 
 def vector_best_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each query the nearest vector of every label, the smallest id among equals (A10)."""
     corpus, asked = _vectors(spark, sf_dir)
-    pairs = corpus.join(F.broadcast(asked.withColumnRenamed("embedding", "wanted")), F.col("qid") != F.col("vec_id"))
-    scored = pairs.select("qid", "label", "vec_id", F.round(dot(F.col("embedding"), F.col("wanted")), 6).alias("score"))
-    return vectors.best_per_group(scored, ["qid", "label"], "score", "vec_id")
+    return vectors.cosine_top_k(corpus, asked, k=1, by="label").drop("rank")
 
 
 def vector_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,8 +99,7 @@ def vector_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.cosine_top_k(vectors.kept_kinds(owned, ["1", "2", "3"], ["eq1", "eq2"], "kind", "owner"), asked, k=5)
 
 
-DOTS_SQL = "SELECT q.vec_id AS qid, v.vec_id, v.label, round(list_sum([x::DOUBLE * y::DOUBLE for x, y in list_zip(v.embedding, q.embedding)]), 6) AS score"
-DOTS_SQL = "SELECT q.vec_id AS qid, v.vec_id, v.label, round(list_inner_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings v JOIN embeddings q ON q.vec_id < 10 AND q.vec_id <> v.vec_id"
+DOTS_SQL = "SELECT q.vec_id AS qid, v.vec_id, v.label, round(list_inner_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings v JOIN embeddings q ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id"
 
 
 def minmax_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,7 +155,25 @@ def priority_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.priority_cascade(left, "c_custkey", steps, "target").select("c_custkey", "target", "match_method")
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_filtered, bm25_normalised, tfidf_topk, vector_topk, vector_best_per_label, vector_filtered, minmax_blend, jaccard_pairs, dedupe_priority, dedupe_first, hash_split, stratified_sample, priority_cascade)}
+def equation_resolver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers matched with parts by id, anchor, label and LaTeX, five steps in their order."""
+    part = table(spark, sf_dir, "part")
+    tables = part.select(
+        (F.col("p_partkey") % 40).alias("paper_id"), F.col("p_partkey").alias("table_id"), F.col("p_size").alias("document_order"),
+        F.array(F.concat(F.lit("T"), F.col("p_partkey").cast("string")), F.concat(F.lit("B"), F.col("p_brand"))).alias("dom_ids"),
+        F.array(F.col("p_brand"), F.col("p_type")).alias("labels"), F.array(resolve.normal_latex(F.format_string(r"\left(x_{%d}\right)", F.col("p_size")))).alias("forms"),
+    )
+    key = F.col("c_custkey")
+    entries = table(spark, sf_dir, "customer").join(part.select("p_partkey", "p_brand", "p_type", "p_size"), F.col("c_custkey") % 200 + 1 == F.col("p_partkey"), "left").select(
+        (key % 40).alias("paper_id"), F.when(key % 3 == 0, F.col("p_type")).otherwise(F.col("p_brand")).alias("equation_id"), key.alias("c_custkey"), F.format_string("( x_%d )", F.col("p_size")).alias("equation"),
+        F.when(key % 7 == 0, F.array(F.lit("none"), F.concat(F.lit("T"), key.cast("string")))).otherwise(F.array().cast("array<string>")).alias("annotation_ids"),
+        F.when(key % 5 == 0, F.concat(F.lit("B"), F.col("p_brand"))).alias("audit_anchor_id"),
+    )
+    once = selection.dedupe_first(entries.filter("equation_id is not null"), F.concat_ws("/", "paper_id", "equation_id"), "c_custkey")
+    return resolve.resolve(once, tables).select("c_custkey", "table_id", "match_method")
+
+
+QUERIES = {f.__name__: f for f in (equation_resolver, bm25_topk, bm25_filtered, bm25_normalised, tfidf_topk, vector_topk, vector_best_per_label, vector_filtered, minmax_blend, jaccard_pairs, dedupe_priority, dedupe_first, hash_split, stratified_sample, priority_cascade)}
 
 ORACLE_SQL = {
     "bm25_topk": f"WITH {BM25_SQL} SELECT qid, doc_id, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= 10",
@@ -174,6 +189,16 @@ ORACLE_SQL = {
     "jaccard_pairs": f"""WITH s AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: length(t) > 1 AND t NOT IN ({', '.join(repr(w) for w in STOP)}))) AS s FROM benchmark)
         SELECT item_id, other_id, score FROM (SELECT a.item_id, b.item_id AS other_id, round(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))), 6) AS score FROM s a JOIN s b ON a.item_id < b.item_id) WHERE score >= 0.03""",
     "dedupe_priority": "SELECT doc_id, slot, n_chars FROM (SELECT doc_id, n_chars, min(doc_id) OVER (PARTITION BY text) AS slot, row_number() OVER (PARTITION BY text ORDER BY n_chars DESC, doc_id) AS r FROM documents) WHERE r = 1",
+    "equation_resolver": r"""WITH t AS (SELECT p_partkey % 40 AS paper, p_partkey AS id, p_size AS place, 'T' || p_partkey AS d1, 'B' || p_brand AS d2, p_brand, p_type, '(x_' || p_size || ')' AS form FROM part),
+        e AS (SELECT * FROM (SELECT c_custkey, c_custkey % 40 AS paper, CASE WHEN c_custkey % 3 = 0 THEN p_type ELSE p_brand END AS eq, '(x_' || p_size || ')' AS form, CASE WHEN c_custkey % 7 = 0 THEN 'T' || c_custkey END AS ann, CASE WHEN c_custkey % 5 = 0 THEN 'B' || p_brand END AS anchor
+          FROM customer JOIN part ON c_custkey % 200 + 1 = p_partkey) QUALIFY row_number() OVER (PARTITION BY paper, eq ORDER BY c_custkey) = 1),
+        d AS (SELECT paper, dom, arg_min(id, place) AS id FROM (SELECT paper, id, place, unnest([d1, d2]) AS dom FROM t) GROUP BY ALL),
+        l AS (SELECT c_custkey, t.id, t.form = e.form AS fits FROM e JOIN t ON e.paper = t.paper AND e.eq IN (t.p_brand, t.p_type)),
+        x AS (SELECT c_custkey, t.id FROM e JOIN t ON e.paper = t.paper AND e.form = t.form),
+        s AS (SELECT e.c_custkey, (SELECT id FROM d WHERE d.paper = e.paper AND dom = ann) AS a, (SELECT id FROM d WHERE d.paper = e.paper AND dom = anchor) AS b,
+          (SELECT CASE WHEN count(*) = 1 THEN min(id) END FROM l WHERE l.c_custkey = e.c_custkey) AS c, (SELECT CASE WHEN count(*) = 1 THEN min(id) END FROM l WHERE l.c_custkey = e.c_custkey AND fits) AS f,
+          (SELECT CASE WHEN count(*) = 1 THEN min(id) END FROM x WHERE x.c_custkey = e.c_custkey) AS g FROM e)
+        SELECT c_custkey, coalesce(a, b, c, f, g) AS table_id, CASE WHEN a IS NOT NULL THEN 'annotation_id' WHEN b IS NOT NULL THEN 'audit_anchor_id' WHEN c IS NOT NULL THEN 'visible_label' WHEN f IS NOT NULL THEN 'visible_label_and_latex' WHEN g IS NOT NULL THEN 'exact_latex' ELSE 'unresolved' END AS match_method FROM s""",
     "dedupe_first": "SELECT min(doc_id) AS doc_id, lang FROM documents GROUP BY lang, lower(text)",
     "hash_split": """SELECT source, CASE WHEN r < t THEN 'train' WHEN r < least(n - 1, t + greatest(1, round_even(n * 0.1, 0))) THEN 'validation' ELSE 'test' END AS split FROM (
         SELECT source, row_number() OVER (ORDER BY sha256('7:' || source)) - 1 AS r, count(*) OVER () AS n, round_even(count(*) OVER () * 0.8, 0) AS t FROM (SELECT DISTINCT source FROM documents))""",

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkwell.functions.arrays import jaccard
+from inkwell.functions.arrays import in_order, jaccard, softmax
 from inkwell.functions.text import sentences, squeeze, words
-from inkwell.operators import context, evaluate, export, validate
+from inkwell.operators import context, evaluate, export, structure, validate, windows
+from inkwell.operators.chunks import build_chunks
 from inkwell.operators.quality import hard_filter_reasons
 from inkwell.plans.search import table
+from inkwell.scratch import materialize
 
 
 def asof_prev_next(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,10 +22,10 @@ def asof_prev_next(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def context_window5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Up to five turns before and after each turn, joined in order."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.substring("text", 1, 20).alias("head"))
-    found = context.nearest_rows(turns, ["conv_id"], "turn", "head", 5)
-    return found.select("conv_id", "turn", F.concat_ws("|", "before").alias("before_text"), F.concat_ws("|", "after").alias("after_text"))
+    """Up to five whole turns before and after each turn, joined in order, as digests."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    found = context.nearest_rows(turns, ["conv_id"], "turn", "text", 5)
+    return found.select("conv_id", "turn", F.sha2(F.concat_ws("|", "before"), 256).alias("before_text"), F.sha2(F.concat_ws("|", "after"), 256).alias("after_text"))
 
 
 def band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +57,7 @@ def paren_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nested_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest earlier line item of the order with a smaller level, quantity standing in for the level."""
-    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg((F.min("l_quantity").cast("int") % 5).alias("level"))
+    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").cast("int").alias("level"))
     return context.parents_by_level(items, ["l_orderkey"], "l_linenumber", "level", "l_linenumber").select("l_orderkey", "l_linenumber", "parent")
 
 
@@ -153,28 +155,26 @@ def exclusive_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def length_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Least, median and greatest number of words by language."""
-    rows = table(spark, sf_dir, "documents").select("lang", F.size(words(F.col("text"))).alias("n"))
-    return rows.groupBy("lang").agg(F.min("n").alias("low"), F.median("n").alias("middle"), F.max("n").alias("high"), F.count("*").alias("n_docs"))
+    return evaluate.length_summary(table(spark, sf_dir, "documents"), "lang", F.size(words(F.col("text"))))
 
 
 def chunk_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line, paragraph and document chunks in one table, counted by type."""
-    lines = _sentences(spark, sf_dir)
-    docs = table(spark, sf_dir, "documents")
-    views = [
-        lines.select(F.lit("sentence").alias("chunk_type"), "doc_id", F.concat_ws(":", F.col("doc_id").cast("string"), F.lit("s"), F.col("pos").cast("string")).alias("chunk_id"), F.length("line").alias("n")),
-        docs.select(F.lit("paragraph").alias("chunk_type"), "doc_id", F.concat_ws(":", F.col("doc_id").cast("string"), F.lit("p")).alias("chunk_id"), F.length("text").alias("n")),
-        docs.select(F.lit("section_context").alias("chunk_type"), "doc_id", F.concat_ws(":", F.col("doc_id").cast("string"), F.lit("c")).alias("chunk_id"), (F.length("source") + F.length("text") + 1).alias("n")),
-    ]
-    both = views[0].unionByName(views[1], allowMissingColumns=True).unionByName(views[2])
-    return both.groupBy("doc_id", "chunk_type").agg(F.count("*").alias("n_chunks"), F.sum("n").alias("n_chars"))
+    """All chunk views of documents as papers: a line is a paragraph, counted by type."""
+    none = F.lit(0).cast("int")
+    sents = lambda p: F.transform(sentences(p["line"]), lambda s, k: F.struct(F.concat_ws(":", p["pos"].cast("string"), k.cast("string")).alias("sentence_id"), k.cast("int").alias("order"), s.alias("text"), none.alias("start"), none.alias("end")))
+    paras = lambda p: F.struct(p["pos"].cast("string").alias("paragraph_id"), F.lit("s").alias("section_id"), p["pos"].cast("int").alias("document_order"), p["line"].alias("text"), sents(p).alias("sentences"))
+    listed = _sentences(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("lines"))
+    section = F.struct(F.lit("s").alias("section_id"), F.lit(None).cast("string").alias("parent_section_id"), none.alias("order"), none.alias("level"), F.lit("section").alias("kind"), F.lit("t").alias("title"), F.lit(True).alias("synthetic"))
+    equation = "array<struct<raw_equation_id:string,anchor_id:string,visible_labels:array<string>,latex:string,mathml:array<string>,document_order:int,section_id:string>>"
+    parsed = listed.select(F.col("doc_id").alias("paper_id"), F.array(section).alias("sections"), F.transform("lines", paras).alias("paragraphs"), F.array().cast(equation).alias("equations"))
+    views = build_chunks(materialize(parsed, "parsed")).filter("chunk_type <> 'cross_reference'")
+    return views.groupBy(F.col("paper_id").alias("doc_id"), "chunk_type").agg(F.count("*").alias("n_chunks"), F.sum(F.length("text")).alias("n_chars"))
 
 
 def section_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The turns of a conversation joined in order, and the first of them."""
-    turns = table(spark, sf_dir, "conversations")
-    ordered = F.array_sort(F.collect_list(F.struct("turn", "text")))
-    return turns.groupBy("conv_id").agg(F.sha2(F.concat_ws("\n", F.transform(ordered, lambda x: x["text"])), 256).alias("digest"), F.min("turn").alias("first_turn"))
+    joined = context.joined_in_order(table(spark, sf_dir, "conversations"), ["conv_id"], "turn", "text")
+    return joined.select("conv_id", F.sha2("text", 256).alias("digest"), F.col("first").alias("first_turn"))
 
 
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,14 +186,13 @@ def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ordered_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's event types in order of first occurrence."""
     ev = table(spark, sf_dir, "events")
-    ordered = F.array_sort(F.collect_list(F.struct("event_id", "event_type")))
-    return ev.groupBy("user_id").agg(F.concat_ws(",", F.array_distinct(F.transform(ordered, lambda x: x["event_type"]))).alias("types"))
+    return ev.groupBy("user_id").agg(F.concat_ws(",", in_order(F.collect_list(F.struct("event_id", F.col("event_type").alias("value"))))).alias("types"))
 
 
 def coverage_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers without orders, and orders' customers that do not exist."""
-    expected = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
-    return validate.coverage(expected, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), ["k"])
+    """Labelled documents that are not English, and English ones without a label."""
+    expected = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("k"))
+    return validate.coverage(expected, table(spark, sf_dir, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("k")), ["k"])
 
 
 def document_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,15 +206,98 @@ def document_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def outer_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders of a few customers as nested objects of items and links, defaults where nothing is known."""
-    orders = table(spark, sf_dir, "orders").filter("o_custkey <= 100").select(F.col("o_custkey").cast("string").alias("paper_id"), F.col("o_orderkey").cast("string").alias("equation_id"), F.col("o_orderpriority").alias("equation"), F.col("o_orderstatus").alias("status"))
+    """Customers' orders as nested objects of items and links, defaults where nothing is known."""
+    orders, symbols, relations = _components(spark, sf_dir)
+    key = ["paper_id", "equation_id"]
+    done = export.outer_export(orders, orders.filter("status = 'F'").select(*key, F.lit("done").alias("meaning")), symbols, relations)
+    return done.select(*key, "equation", "meaning", F.size("symbols").alias("n_symbols"), F.size("relations").alias("n_relations"), F.concat_ws(",", F.map_values("symbols")).alias("definitions"))
+
+
+def _components(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Orders as equations of customers, line items as their symbols, orders of equal status as related."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("paper_id"), F.col("o_orderkey").cast("string").alias("equation_id"), F.col("o_orderpriority").alias("equation"), F.col("o_orderstatus").alias("status"))
     items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("equation_id"), F.col("l_linenumber").cast("string").alias("symbol"), F.col("l_returnflag").alias("definition")).groupBy("equation_id", "symbol").agg(F.min("definition").alias("definition"))
     key = ["paper_id", "equation_id"]
     symbols = orders.select(*key).join(items, "equation_id").select(*key, "symbol", "definition")
     pairs = orders.select("paper_id", F.col("equation_id").alias("src"), F.col("status").alias("a")).join(orders.select("paper_id", F.col("equation_id").alias("dst"), F.col("status").alias("b")), "paper_id").filter("src <> dst")
-    relations = pairs.filter("a = b").select("paper_id", "src", "dst", F.lit("potential").alias("grade"), F.lit("same status").alias("description"))
-    done = export.outer_export(orders, orders.filter("status = 'F'").select(*key, F.lit("done").alias("meaning")), symbols, relations)
-    return done.select(*key, "equation", "meaning", F.size("symbols").alias("n_symbols"), F.size("relations").alias("n_relations"), F.concat_ws(",", F.map_values("symbols")).alias("definitions"))
+    return orders, symbols, pairs.filter("a = b").select("paper_id", "src", "dst", F.lit("potential").alias("grade"), F.lit("same status").alias("description"))
+
+
+def final_object(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON object for each customer: orders by number, with their items and links (SNK4, A28, S5)."""
+    orders, symbols, relations = _components(spark, sf_dir)
+    done = export.outer_export(orders, orders.filter("status = 'F'").select("paper_id", "equation_id", F.lit("done").alias("meaning")), symbols, relations)
+    papers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("position"), F.col("c_custkey").cast("string").alias("paper_id"))
+    return export.final_object(done, papers).select("paper_id", F.sha2("json", 256).alias("digest"), F.length("json").alias("n_chars"))
+
+
+def strict_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, where every order must have a meaning and every pair a relation."""
+    orders, symbols, _ = _components(spark, sf_dir)
+    key = ["paper_id", "equation_id"]
+    side = lambda name: orders.select("paper_id", F.col("equation_id").alias(name), F.col("status").alias(f"_{name}"))
+    every = side("src").join(side("dst"), "paper_id").filter("src <> dst").select("paper_id", "src", "dst", F.when(F.col("_src") == F.col("_dst"), "potential").otherwise("none").alias("grade"), F.lit("").alias("description"))
+    papers = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("paper_id"))
+    done = export.strict_export(orders, orders.select(*key, F.col("status").alias("meaning")), symbols, every, papers)
+    return done.select(*key, "equation", "meaning", F.size("symbols").alias("n_symbols"), F.size(F.filter(F.map_values("relations"), lambda r: r["grade"] == "potential")).alias("n_kept"), F.size("relations").alias("n_relations"))
+
+
+def entity_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of clicks among a user's events as spans (O3, gaps and islands)."""
+    ev = table(spark, sf_dir, "events")
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("int") - 1
+    rows = ev.select(F.col("user_id").alias("text_id"), (2 * place).alias("start"), (2 * place + 1).alias("end"), F.when(F.col("event_type") == "click", "I-EQ_NAME").when(F.col("event_type") == "error", "B-EQ_NAME").otherwise("O").alias("entity"))
+    texts = rows.groupBy("text_id").agg(F.repeat(F.lit("x "), F.count("*").cast("int")).alias("text"))
+    return windows.entity_spans(rows, texts).select("text_id", "start", "end", F.length("span").alias("n"))
+
+
+def answer_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources as answers: documents' own against the one before."""
+    docs = table(spark, sf_dir, "documents").select(F.lit("p").alias("paper_id"), F.col("doc_id").alias("equation_id"), F.col("source").alias("meaning"), (F.col("doc_id") % 3 > 0).alias("has_answer"))
+    gold = docs.withColumn("meaning", F.when(F.col("has_answer"), F.col("meaning")).otherwise(""))
+    said = docs.select("paper_id", (F.col("equation_id") + 1).alias("equation_id"), F.when(F.col("equation_id") % 4 > 0, F.col("meaning")).otherwise("").alias("meaning"))
+    return windows.answer_metrics(gold, said)
+
+
+def split_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders' parts that are known and unknown, in order and each once."""
+    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"].cast("string")).alias("targets"))
+    known = table(spark, sf_dir, "part").filter("p_size > 25").select(F.lit(1).alias("paper_id"), F.col("p_partkey").cast("string").alias("equation_id"))
+    found = structure.split_labels(items.withColumn("paper_id", F.lit(1)), known)
+    return found.select("l_orderkey", F.concat_ws(",", "resolved").alias("resolved"), F.concat_ws(",", "unresolved").alias("unresolved"))
+
+
+def paper_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders and errors of each customer, and sums over all (A1)."""
+    papers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("paper_id"))
+    totals = structure.paper_totals(papers, orders=table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("paper_id")), errors=table(spark, sf_dir, "events").filter("event_type = 'error'").select(F.col("user_id").alias("paper_id")))
+    return totals.unionByName(structure.overall_totals(totals).select((-F.col("n_papers")).alias("paper_id"), "n_orders", "n_errors"))
+
+
+def status_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers by market segment, in order."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("status"), F.col("c_custkey").alias("paper_id"))
+    return export.grouped_reasons(rows).select("status", "n", F.concat_ws(",", F.transform("papers", lambda p: p.cast("string"))).alias("papers"))
+
+
+def ordered_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of a customer as sections by price and id."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("paper_id"), F.floor(F.col("o_totalprice") / 10000).alias("position"), F.col("o_orderkey").cast("string").alias("section_id"))
+    return structure.ordered_sections(rows).select("section_id", "order")
+
+
+def equation_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns around each turn as evidence; a turn that another turn comes after introduces that one."""
+    turns = table(spark, sf_dir, "conversations").filter("turn % 2 = 0").select(F.col("conv_id").alias("paper_id"), F.col("turn").cast("string").alias("equation_id"), F.col("turn").alias("document_order"), (F.col("turn") - 1).cast("string").alias("previous_paragraph_id"), (F.col("turn") + 1).cast("string").alias("next_paragraph_id"))
+    said = table(spark, sf_dir, "conversations").filter("turn % 2 = 1").select(F.col("conv_id").alias("paper_id"), F.col("turn").cast("string").alias("paragraph_id"), F.col("turn").cast("string").alias("sentence_id"), F.lit("s").alias("section_id"), "text", F.lit(0).alias("order"))
+    return structure.equation_evidence(turns, said).select("paper_id", "equation_id", "sentence_id", "position", "pos", F.length("text").alias("n_chars"))
+
+
+def softmax_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of three scores of each label, and the lead of the first over the second (M5)."""
+    scores = F.array(*[F.pmod(F.col("doc_id") * k, F.lit(17)).cast("double") / 4 for k in (3, 5, 7)])
+    ranked = F.sort_array(softmax(scores), asc=False)
+    return table(spark, sf_dir, "labels").select("doc_id", F.round(F.get(ranked, F.lit(0)), 6).alias("best"), F.round(F.get(ranked, F.lit(0)) - F.get(ranked, F.lit(1)), 6).alias("lead"))
 
 
 def directed_pairs_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,9 +313,7 @@ def directed_pairs_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rank_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far apart a customer's consecutive orders are in price rank."""
     o = table(spark, sf_dir, "orders")
-    ranked = o.withColumn("place", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_totalprice", "o_orderkey")))
-    step = F.abs(F.col("place") - F.lag("place").over(Window.partitionBy("o_custkey").orderBy("o_orderkey")))
-    return ranked.select("o_orderkey", step.alias("distance"))
+    return context.rank_distance(o, ["o_custkey"], ["o_totalprice", "o_orderkey"], ["o_orderkey"]).select("o_orderkey", "distance")
 
 
 QUERIES = {
@@ -241,7 +321,8 @@ QUERIES = {
     for f in (
         asof_prev_next, context_window5, band_join, running_cutoff, first_n_per_group, paren_sessions, nested_levels, classification_report, classification_overall, confusion, threshold_sweep, accepted_metrics,
         acceptance_gate, split_summary, class_weights, hard_filter, overlapping_reasons, reason_examples, exclusive_reasons, length_summary, chunk_union, section_context, sentence_split, ordered_distinct,
-        coverage_antijoin, document_checks, outer_export, directed_pairs_grid, rank_distance,
+        coverage_antijoin, document_checks, outer_export, directed_pairs_grid, rank_distance, final_object, strict_export, entity_spans, answer_metrics, split_labels, paper_totals, status_groups, ordered_sections,
+        equation_evidence, softmax_margin,
     )
 }
 
@@ -251,13 +332,13 @@ ORACLE_SQL = {
     "asof_prev_next": """WITH e AS (SELECT user_id, event_id, event_type, epoch_us(ts) AS at FROM events), p AS (SELECT * FROM e WHERE event_type = 'purchase')
         SELECT event_id AS error_id, (SELECT arg_max(p.event_id, (p.at, p.event_id)) FROM p WHERE p.user_id = x.user_id AND p.at < x.at) AS previous,
         (SELECT arg_min(p.event_id, (p.at, p.event_id)) FROM p WHERE p.user_id = x.user_id AND p.at > x.at) AS next FROM e x WHERE event_type = 'error'""",
-    "context_window5": """SELECT conv_id, turn, coalesce(string_agg(h, '|' ORDER BY turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), '') AS before_text,
-        coalesce(string_agg(h, '|' ORDER BY turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING), '') AS after_text FROM (SELECT conv_id, turn, substring(text, 1, 20) AS h FROM conversations)""",
+    "context_window5": """SELECT conv_id, turn, sha256(coalesce(string_agg(text, '|' ORDER BY turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), '')) AS before_text,
+        sha256(coalesce(string_agg(text, '|' ORDER BY turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING), '')) AS after_text FROM conversations""",
     "band_join": "SELECT a.user_id, a.event_id AS error_id, b.event_id AS click_id FROM events a JOIN events b ON a.user_id = b.user_id AND abs(a.event_id - b.event_id) < 200 WHERE a.event_type = 'error' AND b.event_type = 'click'",
     "running_cutoff": """SELECT * FROM (SELECT c_nationkey, c_custkey, n, coalesce(sum(n) OVER (PARTITION BY c_nationkey ORDER BY c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before_total
         FROM customer JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) ON c_custkey = o_custkey) WHERE before_total < 350""",
     "first_n_per_group": "SELECT * FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS ordinal FROM orders) WHERE ordinal <= 7",
-    "nested_levels": """WITH i AS (SELECT l_orderkey, l_linenumber, floor(min(l_quantity))::INT % 5 AS level FROM lineitem GROUP BY 1, 2)
+    "nested_levels": """WITH i AS (SELECT l_orderkey, l_linenumber, floor(min(l_quantity))::INT AS level FROM lineitem GROUP BY 1, 2)
         SELECT a.l_orderkey, a.l_linenumber, max(b.l_linenumber) AS parent FROM i a LEFT JOIN i b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber < a.l_linenumber AND b.level < a.level GROUP BY ALL""",
     "classification_report": f"""WITH r AS ({LABELLED}), l AS (SELECT DISTINCT unnest([gold_label, predicted_label]) AS label FROM r),
         s AS (SELECT label, (SELECT count(*) FROM r WHERE gold_label = label) AS g, (SELECT count(*) FROM r WHERE predicted_label = label) AS p, (SELECT count(*) FROM r WHERE gold_label = label AND predicted_label = label) AS t FROM l)
@@ -278,15 +359,44 @@ ORACLE_SQL = {
     "reason_examples": f"SELECT * FROM (SELECT doc_id, reason, row_number() OVER (PARTITION BY reason ORDER BY doc_id) AS ordinal FROM (SELECT DISTINCT doc_id, unnest(reasons) AS reason FROM ({REASONS_SQL}))) WHERE ordinal <= 3",
     "exclusive_reasons": f"SELECT reason, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM documents), 2) AS percent FROM (SELECT CASE WHEN len({WORDS}) < 20 THEN 'too_short' WHEN len({WORDS}) > 800 THEN 'too_long' ELSE 'fits' END AS reason FROM documents) GROUP BY reason",
     "length_summary": f"SELECT lang, min(n) AS low, median(n) AS middle, max(n) AS high, count(*) AS n_docs FROM (SELECT lang, len({WORDS}) AS n FROM documents) GROUP BY lang",
-    "chunk_union": f"""SELECT doc_id, chunk_type, count(*) AS n_chunks, sum(n)::BIGINT AS n_chars FROM (SELECT doc_id, 'sentence' AS chunk_type, length(line) AS n FROM ({LINES}) UNION ALL SELECT doc_id, 'paragraph', length(text) FROM documents
-        UNION ALL SELECT doc_id, 'section_context', length(source) + length(text) + 1 FROM documents) GROUP BY ALL""",
+    "chunk_union": rf"""WITH l AS ({LINES}) SELECT doc_id, chunk_type, count(*) AS n_chunks, sum(n)::BIGINT AS n_chars FROM (
+        SELECT doc_id, 'sentence' AS chunk_type, length(s) AS n FROM (SELECT doc_id, trim(unnest(string_split(regexp_replace(line, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)))) AS s FROM l) WHERE s <> ''
+        UNION ALL SELECT doc_id, 'paragraph', length(line) FROM l UNION ALL SELECT doc_id, 'section_context', sum(length(line)) + 2 * (count(*) - 1) FROM l GROUP BY doc_id) GROUP BY ALL""",
     "section_context": "SELECT conv_id, sha256(string_agg(text, chr(10) ORDER BY turn)) AS digest, min(turn) AS first_turn FROM conversations GROUP BY conv_id",
     "sentence_split": r"SELECT doc_id, len(s) AS n_sentences, coalesce(list_sum([length(x) for x in s]), 0)::BIGINT AS n_chars_in FROM (SELECT doc_id, list_filter([trim(y) for y in string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))], lambda x: x <> '') AS s FROM documents)",
     "ordered_distinct": "SELECT user_id, string_agg(event_type, ',' ORDER BY f) AS types FROM (SELECT user_id, event_type, min(event_id) AS f FROM events GROUP BY ALL) GROUP BY user_id",
-    "coverage_antijoin": "SELECT c_custkey AS k, 'missing' AS error FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT DISTINCT o_custkey, 'extra' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)",
+    "coverage_antijoin": "WITH d AS (SELECT doc_id FROM documents WHERE lang = 'en') SELECT DISTINCT doc_id AS k, 'missing' AS error FROM labels WHERE doc_id NOT IN (FROM d) UNION ALL SELECT DISTINCT doc_id, 'extra' FROM d WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "document_checks": f"""SELECT sha256(text) AS entity, 'duplicate text' AS error FROM documents GROUP BY text HAVING count(*) > 1 UNION ALL SELECT doc_id::VARCHAR, 'unknown document' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)
         UNION ALL SELECT doc_id::VARCHAR, 'few words' FROM documents WHERE len({WORDS}) < 5""",
-    "outer_export": """WITH o AS (SELECT o_custkey::VARCHAR AS paper_id, o_orderkey::VARCHAR AS equation_id, o_orderpriority AS equation, o_orderstatus AS status FROM orders WHERE o_custkey <= 100),
+    "final_object": """WITH o AS (SELECT o_custkey AS c, o_orderkey AS k, o_orderpriority AS equation, o_orderstatus AS status FROM orders),
+        i AS (SELECT l_orderkey AS k, '{' || string_agg('"' || l || '":"' || f || '"', ',' ORDER BY l::VARCHAR) || '}' AS s FROM (SELECT l_orderkey, l_linenumber AS l, min(l_returnflag) AS f FROM lineitem GROUP BY 1, 2) GROUP BY 1),
+        r AS (SELECT a.k, '{' || string_agg('"' || b.k || '":{"grade":"potential","description":"same status"}', ',' ORDER BY b.k::VARCHAR) || '}' AS r FROM o a JOIN o b ON a.c = b.c AND a.k <> b.k AND a.status = b.status GROUP BY a.k),
+        j AS (SELECT c, '{' || string_agg('"' || k || '":{"equation":"' || equation || '","meaning":"' || CASE WHEN status = 'F' THEN 'done' ELSE '' END || '","symbols":' || coalesce(s, '{}') || ',"relations":' || coalesce(r, '{}') || '}', ',' ORDER BY k) || '}' AS json
+          FROM o LEFT JOIN i USING (k) LEFT JOIN r USING (k) GROUP BY c)
+        SELECT c_custkey::VARCHAR AS paper_id, sha256(coalesce(json, '{}')) AS digest, length(coalesce(json, '{}')) AS n_chars FROM customer LEFT JOIN j ON c = c_custkey""",
+    "strict_export": """WITH o AS (SELECT o_custkey::VARCHAR AS paper_id, o_orderkey::VARCHAR AS equation_id, o_orderpriority AS equation, o_orderstatus AS meaning FROM orders),
+        i AS (SELECT l_orderkey::VARCHAR AS equation_id, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY 1)
+        SELECT paper_id, equation_id, equation, meaning, coalesce(n, 0) AS n_symbols, count(*) OVER (PARTITION BY paper_id, meaning) - 1 AS n_kept, count(*) OVER (PARTITION BY paper_id) - 1 AS n_relations FROM o LEFT JOIN i USING (equation_id)""",
+    "entity_spans": """WITH e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS p FROM events),
+        k AS (SELECT *, CASE WHEN event_type = 'click' AND lag(p) OVER (PARTITION BY user_id ORDER BY p) = p - 1 THEN 0 ELSE 1 END AS fresh FROM e WHERE event_type IN ('click', 'error')),
+        s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY p) AS island FROM k)
+        SELECT user_id AS text_id, (2 * min(p))::INT AS start, (2 * max(p) + 1)::INT AS end, (2 * (max(p) - min(p)) + 1)::INT AS n FROM s GROUP BY user_id, island""",
+    "answer_metrics": """WITH g AS (SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN source ELSE '' END AS m, doc_id % 3 > 0 AS h FROM documents), p AS (SELECT doc_id + 1 AS doc_id, CASE WHEN doc_id % 4 > 0 THEN source ELSE '' END AS p FROM documents),
+        r AS (SELECT m, h, coalesce(p, '') AS p FROM g LEFT JOIN p USING (doc_id))
+        SELECT round(avg((p = m)::INT), 6) AS exact_match, round(count(*) FILTER (p = m AND p <> '') / count(*) FILTER (p <> ''), 6) AS answer_precision, round(count(*) FILTER (p = m AND h) / count(*) FILTER (h), 6) AS answer_recall,
+        round(count(*) FILTER (p = '' AND NOT h) / count(*) FILTER (NOT h), 6) AS no_answer_accuracy FROM r""",
+    "split_labels": """WITH l AS (SELECT l_orderkey, l_partkey, min(l_linenumber) AS place FROM lineitem GROUP BY 1, 2), k AS (SELECT l.*, p_size > 25 AS known FROM l LEFT JOIN part ON l_partkey = p_partkey)
+        SELECT l_orderkey, coalesce(string_agg(l_partkey::VARCHAR, ',' ORDER BY place) FILTER (known), '') AS resolved, coalesce(string_agg(l_partkey::VARCHAR, ',' ORDER BY place) FILTER (known IS NOT TRUE), '') AS unresolved FROM k GROUP BY l_orderkey""",
+    "paper_totals": """WITH t AS (SELECT c_custkey AS paper_id, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n_orders, (SELECT count(*) FROM events WHERE user_id = c_custkey AND event_type = 'error') AS n_errors FROM customer)
+        SELECT * FROM t UNION ALL SELECT -count(*), sum(n_orders)::BIGINT, sum(n_errors)::BIGINT FROM t""",
+    "status_groups": "SELECT c_mktsegment AS status, count(*) AS n, string_agg(c_custkey::VARCHAR, ',' ORDER BY c_custkey) AS papers FROM customer GROUP BY 1",
+    "ordered_sections": """SELECT o_orderkey::VARCHAR AS section_id, row_number() OVER (PARTITION BY o_custkey ORDER BY floor(o_totalprice / 10000), o_orderkey::VARCHAR) AS "order" FROM orders""",
+    "equation_evidence": """WITH e AS (SELECT conv_id, turn FROM conversations WHERE turn % 2 = 0), s AS (SELECT conv_id, turn, length(text) AS n FROM conversations WHERE turn % 2 = 1)
+        SELECT e.conv_id AS paper_id, e.turn::VARCHAR AS equation_id, s.turn::VARCHAR AS sentence_id, CASE WHEN s.turn < e.turn THEN 'before_equation' WHEN EXISTS (FROM e f WHERE f.conv_id = e.conv_id AND f.turn = s.turn + 1) THEN 'introduces_other_equation' ELSE 'after_equation' END AS position,
+        row_number() OVER (PARTITION BY e.conv_id, e.turn ORDER BY s.turn) - 1 AS pos, n AS n_chars FROM e JOIN s ON e.conv_id = s.conv_id AND abs(e.turn - s.turn) = 1""",
+    "softmax_margin": """WITH s AS (SELECT doc_id, [(doc_id * k % 17) / 4.0 for k in [3, 5, 7]] AS v FROM labels), e AS (SELECT doc_id, list_sort([exp(x - list_max(v)) for x in v], 'DESC') AS p FROM s)
+        SELECT doc_id, round(p[1] / list_sum(p), 6) AS best, round((p[1] - p[2]) / list_sum(p), 6) AS lead FROM e""",
+    "outer_export": """WITH o AS (SELECT o_custkey::VARCHAR AS paper_id, o_orderkey::VARCHAR AS equation_id, o_orderpriority AS equation, o_orderstatus AS status FROM orders),
         i AS (SELECT equation_id, count(*) AS n, string_agg(f, ',' ORDER BY s) AS d FROM (SELECT l_orderkey::VARCHAR AS equation_id, l_linenumber::VARCHAR AS s, min(l_returnflag) AS f FROM lineitem GROUP BY 1, 2) GROUP BY 1)
         SELECT paper_id, o.equation_id, equation, CASE WHEN status = 'F' THEN 'done' ELSE '' END AS meaning, coalesce(n, 0) AS n_symbols,
         (SELECT count(*) FROM o p WHERE p.paper_id = o.paper_id AND p.equation_id <> o.equation_id AND p.status = o.status) AS n_relations, coalesce(d, '') AS definitions FROM o LEFT JOIN i ON o.equation_id = i.equation_id""",

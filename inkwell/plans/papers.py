@@ -157,6 +157,14 @@ def symbol_meanings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (html_titles, html_paragraphs, html_valid, xref_parse, symbol_scan, mathml_symbols, phrase_cleanup, phrase_reasons, symbol_meanings, definition_patterns, relation_rules, section_ids)}
 
+_EDGE = r"[^\p{L}\p{N}_]"
+
+
+def _wide(pattern: str) -> str:
+    """A pattern whose word boundaries, which DuckDB takes for ASCII words only, are spelled out."""
+    return "(?i)" + pattern.replace(r"\s+\b(", r"\s+(").replace(r")\b", f")(?:{_EDGE}|$)").replace(r"\eqref\b", rf"\eqref(?:{_EDGE}|$)").replace(r"\b", f"(?:^|{_EDGE})")
+
+
 _quoted = lambda words: "(" + ", ".join(f"'{w}'" for w in sorted(words)) + ")"
 _REFERENCE = r"(?i)\b(Eqs?\.|Equations?)\s*(\([^)]{1,80}\)(?:\s*[-–—]\s*\([^)]{1,40}\))?|[A-Za-z0-9]+(?:\.[A-Za-z0-9]+)*)"
 _SPAN = r"^\(?\s*(\d+)\s*\)?\s*[-–—]\s*\(?\s*(\d+)\s*\)?$"
@@ -178,9 +186,9 @@ ORACLE_SQL = {
         SELECT doc_id, pos, array_to_string(list_filter([
           CASE WHEN len(w) < 2 AND NOT head THEN 'too_short' END, CASE WHEN len(w) > {phrases.MAX_WORDS} THEN 'too_long' END,
           CASE WHEN len(list_filter(w, lambda x: x IN {_quoted(phrases.FORBIDDEN_VERBS)})) > 0 THEN 'contains_finite_or_context_verb' END,
-          CASE WHEN regexp_matches(p, '(?i){phrases.CLAUSE_BOUNDARY.pattern}') THEN 'contains_definition_or_relative_clause' END,
-          CASE WHEN regexp_matches(p, '(?i){phrases.EQUATION_REFERENCE.pattern}') THEN 'contains_equation_reference' END,
-          CASE WHEN regexp_matches(p, '(?i){phrases.INCOMPLETE_EDGE.pattern}') THEN 'incomplete_or_invalid_edge' END,
+          CASE WHEN regexp_matches(p, '{_wide(phrases.CLAUSE_BOUNDARY.pattern)}') THEN 'contains_definition_or_relative_clause' END,
+          CASE WHEN regexp_matches(p, '{_wide(phrases.EQUATION_REFERENCE.pattern)}') THEN 'contains_equation_reference' END,
+          CASE WHEN regexp_matches(p, '{_wide(phrases.INCOMPLETE_EDGE.pattern)}') THEN 'incomplete_or_invalid_edge' END,
           CASE WHEN {' OR '.join(f"length(replace(p, '{x}', '')) <> length(replace(p, '{y}', ''))" for x, y in ('()', '{}', '[]'))} THEN 'unbalanced_delimiters' END,
           CASE WHEN regexp_matches(p, '\\[A-Za-z]+') AND (len(w) < 2 OR marks - letters > 2 * letters) THEN 'math_dominated' END], lambda x: x IS NOT NULL), ',') AS reasons FROM h""",
     "definition_patterns": rf"""WITH t AS ({_TOLD}), m AS (SELECT p_partkey, p_partkey % 5 AS f, regexp_extract(t, '\\omega denotes the ([^.;]+)', 1) AS a, regexp_extract(t, 'where \\omega is the ([^.;]+)', 1) AS b, regexp_extract(t, '(?i)we denote the ([^.;]+?) by \\omega', 1) AS c, regexp_extract(t, '^The ([^.;]+?) is denoted by \\omega', 1) AS d FROM t)

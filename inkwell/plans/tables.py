@@ -386,7 +386,7 @@ ORACLE_SQL = {
         SELECT round(avg((p = m)::INT), 6) AS exact_match, round(count(*) FILTER (p = m AND p <> '') / count(*) FILTER (p <> ''), 6) AS answer_precision, round(count(*) FILTER (p = m AND h) / count(*) FILTER (h), 6) AS answer_recall,
         round(count(*) FILTER (p = '' AND NOT h) / count(*) FILTER (NOT h), 6) AS no_answer_accuracy FROM r""",
     "split_labels": """WITH l AS (SELECT l_orderkey, l_partkey, min(l_linenumber) AS place FROM lineitem GROUP BY 1, 2), k AS (SELECT l.*, p_size > 25 AS known FROM l LEFT JOIN part ON l_partkey = p_partkey)
-        SELECT l_orderkey, coalesce(string_agg(l_partkey::VARCHAR, ',' ORDER BY place) FILTER (known), '') AS resolved, coalesce(string_agg(l_partkey::VARCHAR, ',' ORDER BY place) FILTER (known IS NOT TRUE), '') AS unresolved FROM k GROUP BY l_orderkey""",
+        SELECT l_orderkey, coalesce(string_agg(l_partkey::VARCHAR, ',' ORDER BY place, l_partkey) FILTER (known), '') AS resolved, coalesce(string_agg(l_partkey::VARCHAR, ',' ORDER BY place, l_partkey) FILTER (known IS NOT TRUE), '') AS unresolved FROM k GROUP BY l_orderkey""",
     "paper_totals": """WITH t AS (SELECT c_custkey AS paper_id, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n_orders, (SELECT count(*) FROM events WHERE user_id = c_custkey AND event_type = 'error') AS n_errors FROM customer)
         SELECT * FROM t UNION ALL SELECT -count(*), sum(n_orders)::BIGINT, sum(n_errors)::BIGINT FROM t""",
     "status_groups": "SELECT c_mktsegment AS status, count(*) AS n, string_agg(c_custkey::VARCHAR, ',' ORDER BY c_custkey) AS papers FROM customer GROUP BY 1",

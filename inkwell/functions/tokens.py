@@ -51,5 +51,18 @@ def symbol_context(original: Column, canonical: Column, equation: Column, senten
     return F.concat_ws(" | ", *[F.concat(F.lit(f"{name}: "), F.coalesce(c, F.lit(""))) for name, c in (("original LaTeX", original), ("canonical", canonical), ("equation", equation), ("context", sentence))])
 
 
+def equation_representation(equation: Column, symbols: Column, candidate_symbols: Column, section_titles: Column) -> Column:
+    """An equation as input for a reranker: its symbols, else those of its candidates, and the candidates' sections.
+
+    section_titles has one entry for each candidate, some of them empty; parts that are missing are left out.
+    """
+    named = F.array_distinct(F.when(F.size(symbols) > 0, symbols).otherwise(candidate_symbols))
+    titles = F.array_distinct(F.filter(section_titles, lambda t: F.coalesce(t, F.lit("")) != ""))
+    return F.concat_ws(
+        " | ", F.concat(F.lit("mathematical equation: "), equation), F.when(F.size(named) > 0, F.concat(F.lit("symbols: "), F.concat_ws(" ", named))),
+        F.when(F.size(section_titles) > 0, F.concat(F.lit("section: "), F.concat_ws("; ", titles))),
+    )
+
+
 def candidate_context(phrase: Column, sentence: Column) -> Column:
     return F.concat_ws(" | ", F.concat(F.lit("candidate phrase: "), phrase), F.concat(F.lit("evidence: "), sentence))

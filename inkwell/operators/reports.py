@@ -41,16 +41,25 @@ def symbol_report(rejected: DataFrame) -> str:
     return f"# Symbols without a definition\n\n{markdown_table(counts.collect(), counts.columns)}\n"
 
 
-def audit_trail(equation_id: Column, n_before: Column, n_after: Column, symbols: Column, n_defined: Column, meaning: Column, source: Column, score: Column, n_relations: Column, n_kept: Column, n_equations: Column) -> Column:
-    """What was done for an equation, as a struct of sentences."""
+def audit_trail(equation_id: Column, n_before: Column, n_after: Column, symbols: Column, n_defined: Column, meaning: Column, source: Column, score: Column, n_relations: Column, n_kept: Column, n_equations: Column, method: Column | None = None) -> Column:
+    """What was done for an equation, as a struct of sentences.
+
+    `method` is how the equation was found: null for one that is known from its annotation only, `unresolved` for one
+    that no table of the page is.
+    """
+    method = F.lit("unknown") if method is None else method
+    lost = F.coalesce(method == "unresolved", F.lit(False))
     say = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
     preview = say("Detected ", F.concat_ws(", ", F.slice(symbols, 1, 6)), F.when(F.size(symbols) > 6, say(", and ", plural(F.size(symbols) - 6, "other"))).otherwise(""), " in the equation.")
     chosen = F.when(meaning != "", say("Selected equation meaning from ", source, " evidence with score ", score.cast("string"), ".")).otherwise("No equation-level meaning was selected from the available evidence.")
     lookup = F.when(n_defined > 0, say("Assigned definitions to ", plural(n_defined, "symbol"), " after retrieval-based symbol lookup. ")).when(F.size(symbols) > 0, "No symbol definitions were assigned after retrieval-based symbol lookup. ").otherwise("No symbol definitions were needed because no symbols were detected. ")
     related = say("Built ", plural(n_relations, "relation"), " covering the other ", plural(n_equations - 1, "reviewed equation"), "; ", plural(n_kept, "non-none relation"), " remained after scoring.")
     return F.struct(
-        say("Found numbered equation (", equation_id, ") in the source text using unknown.").alias("extract_eq"),
-        F.when(n_before + n_after > 0, say("Collected ", plural(n_before, "preceding sentence"), " and ", plural(n_after, "following sentence"), " as local context.")).otherwise("No nearby context sentences were available for this equation.").alias("extract_context"),
+        F.when(method.isNull(), say("Found reviewed equation (", equation_id, ") in the annotation data."))
+        .when(lost, say("Found reviewed equation (", equation_id, "), but stage04 could not align it to a raw HTML equation."))
+        .otherwise(say("Found numbered equation (", equation_id, ") in the source text using ", method, "."))
+        .alias("extract_eq"),
+        F.when(n_before + n_after > 0, say("Collected ", plural(n_before, "preceding sentence"), " and ", plural(n_after, "following sentence"), " as local context.")).when(lost, "No local context was attached because the equation alignment was unresolved.").otherwise("No nearby context sentences were available for this equation.").alias("extract_context"),
         F.when(F.size(symbols) > 0, preview).otherwise("Detected no symbols in the equation.").alias("find_symbol"),
         F.concat(lookup, chosen).alias("extract_symbol_name"),
         F.when(n_equations > 1, related).otherwise("No relation pairs were needed because this paper has one reviewed equation.").alias("build_relations"),

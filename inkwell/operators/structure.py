@@ -82,6 +82,29 @@ def attachment_errors(references: DataFrame, attached: DataFrame, times: int = 2
     return wrong(counted, F.coalesce("_n", F.lit(0)) != times, F.col("reference_id"), f"not attached {times} times")
 
 
+def equation_records(equations: DataFrame, sentences: DataFrame, n: int = 5) -> DataFrame:
+    """Add before_sentences and after_sentences: the first n ids of either side whose sentence is known, with its text.
+
+    equations: paper_id, equation_id, before_sentence_ids, after_sentence_ids and any other columns.
+    """
+    texts = sentences.select("paper_id", "sentence_id", "text")
+    out = equations
+    for side in ("before", "after"):
+        ids = equations.select("paper_id", "equation_id", F.posexplode(F.slice(f"{side}_sentence_ids", 1, n)).alias("_k", "sentence_id"))
+        listed = ids.join(texts, ["paper_id", "sentence_id"]).groupBy("paper_id", "equation_id").agg(F.array_sort(F.collect_list(F.struct("_k", "sentence_id", "text"))).alias("_l"))
+        told = listed.select("paper_id", "equation_id", F.transform("_l", lambda x: F.struct(x["sentence_id"].alias("sentence_id"), x["text"].alias("text"))).alias(f"{side}_sentences"))
+        none = F.array().cast("array<struct<sentence_id:string,text:string>>")
+        out = out.join(told, ["paper_id", "equation_id"], "left").withColumn(f"{side}_sentences", F.coalesce(f"{side}_sentences", none))
+    return out
+
+
+def with_markup(equations: DataFrame, raw: DataFrame) -> DataFrame:
+    """Add the MathML of each equation by its raw id, empty where it is unknown."""
+    own = raw.select("paper_id", "raw_equation_id", F.col("mathml").alias("_m"))
+    joined = equations.drop("mathml").join(own, ["paper_id", "raw_equation_id"], "left")
+    return joined.withColumn("mathml", F.coalesce("_m", F.array().cast("array<string>"))).drop("_m")
+
+
 def equation_evidence(equations: DataFrame, sentences: DataFrame) -> DataFrame:
     """(paper_id, equation_id, sentence_id, section_id, text, position, pos): the sentences of the paragraphs around.
 

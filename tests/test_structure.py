@@ -8,9 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from inkwell.functions import evidence
+from inkwell.functions import evidence, tokens
 from inkwell.functions import windows as plain_windows
-from inkwell.operators import chunks, context, embedding, export, meanings, ordering, resolve, structure, symbol_meanings, validate, vectors, windows
+from inkwell.operators import chunks, context, embedding, export, meanings, ordering, reports, resolve, structure, symbol_meanings, validate, vectors, windows
 from inkwell.sources import fetch, readers, sinks
 
 
@@ -103,6 +103,28 @@ def test_evidence_of_equations(spark):
     assert got[("3", "c1")] == ("after_equation", 0) and got[("3", "c2")] == ("after_equation", 1) and len(got) == 10
 
 
+def test_records_and_markup(spark):
+    equations = spark.createDataFrame([("p", "1", "r1", ["a", "z", "b", "c", "d", "e"], []), ("p", "2", "r9", ["c"], ["a"])], "paper_id string, equation_id string, raw_equation_id string, before_sentence_ids array<string>, after_sentence_ids array<string>")
+    sentences = spark.createDataFrame([("p", x, x.upper()) for x in "abcde"], "paper_id string, sentence_id string, text string")
+    got = {r["equation_id"]: r for r in structure.equation_records(equations, sentences).collect()}
+    assert [tuple(s) for s in got["1"]["before_sentences"]] == [("a", "A"), ("b", "B"), ("c", "C"), ("d", "D")] and got["1"]["after_sentences"] == []
+    assert [tuple(s) for s in got["2"]["after_sentences"]] == [("a", "A")]
+    raw = spark.createDataFrame([("p", "r1", ["<math>"])], "paper_id string, raw_equation_id string, mathml array<string>")
+    assert {r["equation_id"]: r["mathml"] for r in structure.with_markup(equations, raw).collect()} == {"1": ["<math>"], "2": []}
+
+
+def test_representations_and_audits(spark):
+    row = spark.createDataFrame([("x=y", [], ["a", "b", "a"], ["S", "", "S", "T"])], "e string, s array<string>, c array<string>, t array<string>")
+    assert row.select(tokens.equation_representation(*map(F.col, "esct"))).first()[0] == "mathematical equation: x=y | symbols: a b | section: S; T"
+    none = F.array().cast("array<string>")
+    assert row.select(tokens.equation_representation(F.col("e"), none, none, none)).first()[0] == "mathematical equation: x=y"
+    say = lambda method: row.select(reports.audit_trail(F.lit("1"), F.lit(0), F.lit(0), none, F.lit(0), F.lit(""), F.lit("none"), F.lit(0.0), F.lit(0), F.lit(0), F.lit(1), method).alias("t")).first()["t"]
+    assert say(F.lit("exact_latex"))["extract_eq"] == "Found numbered equation (1) in the source text using exact_latex."
+    assert say(F.lit(None).cast("string"))["extract_eq"] == "Found reviewed equation (1) in the annotation data."
+    lost = say(F.lit("unresolved"))
+    assert lost["extract_eq"].endswith("could not align it to a raw HTML equation.") and lost["extract_context"].endswith("was unresolved.")
+
+
 def result(rank, text, kind="sentence", score=1.0, near=()):
     return {"rank": rank, "score": score, "chunk_id": f"c{rank}", "chunk_type": kind, "text": text, "nearby_equation_ids": list(near)}
 

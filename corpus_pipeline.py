@@ -9,18 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.jaccard import near_texts
+from inkwell.llm.jaccard import one_of_each
 from inkwell.llm.packing import pack_documents
-from inkwell.llm.quality import quality_rules
+from inkwell.llm.quality import keep_good
 from inkwell.llm.secret_scan import redact_secrets
 from inkwell.llm.substring import remove_passages
-from inkwell.scratch import materialize
-
-
-def _with_ids(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
-    """The documents whose id is among `ids` (or, left_anti, is not); null ids match each other. Texts are not sorted."""
-    wanted = ids.select(F.col("doc_id").alias("_id")).distinct().hint("shuffle_hash")
-    return docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("_id")), how)
+from inkwell.scratch import Scope, materialize
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -28,21 +22,17 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    return _with_ids(docs, quality_rules(docs).filter("kept"))
+    """Documents that the quality rules reject go, null and empty texts among them; each row is judged by itself."""
+    return keep_good(docs)
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays; of rows equal in id and text, one.
+    """Of each group of near-duplicates the row with the smallest id stays; of rows equal in id and text, one.
 
-    Near-duplicates share 0.8 or more of their shingles of five words (exact Jaccard); op2's fingerprints are for op2 only.
+    Candidates have SimHash fingerprints over shingles of five words that differ in few bits; near-duplicates share 0.8
+    or more of their shingles (exact Jaccard). The three words and three bits of op2's contract are for op2 only.
     """
-    groups = materialize(near_texts(docs), "groups")
-    kept = _with_ids(docs, groups.filter("doc_id <=> component_id"))
-    twice = groups.groupBy("doc_id").count().filter("count > 1")
-    if twice.isEmpty():
-        return kept
-    return _with_ids(kept, twice, "left_anti").unionByName(_with_ids(kept, twice).dropDuplicates(["doc_id", "text"]))
+    return one_of_each(docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,5 +65,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with Scope() as scope:  # what a stage wrote on its way goes with it
+            docs = scope.keep(materialize(stage(spark, docs, sf_dir), name))
     return STAGES[-1][1](spark, docs, sf_dir)

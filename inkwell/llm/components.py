@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.scratch import materialize
+from inkwell.scratch import Scope, materialize
 
 
 def _nearest(edges: DataFrame) -> DataFrame:
@@ -30,11 +30,13 @@ def components(edges: DataFrame) -> DataFrame:
     Degrees may be as skewed as they like: minima are combined before the shuffle and joins are equi-joins. The
     rounds needed grow with the logarithm of the number of nodes; each round is written and read back.
     """
-    edges = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "links")
-    before = None
-    while True:
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
-            return edges
-        before = state
-        edges = materialize(_small_star(_large_star(edges)), "links")
+    with Scope() as scope:
+        edges = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "links")
+        before = None
+        while True:
+            state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if state == before or not state[0]:
+                return scope.keep(edges)
+            before, old = state, edges
+            edges = materialize(_small_star(_large_star(edges)), "links")
+            scope.drop(old)

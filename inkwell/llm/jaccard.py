@@ -1,12 +1,15 @@
-"""Near-duplicates by the exact Jaccard similarity of their word shingles.
-
-Texts whose sets of shingles overlap in four fifths of their union or more are linked. Pairs are found by prefixes:
-with every set in one order, two such sets share a member among the first n - ceil(4 n / 5) + 1 of each. Any order is
-right; hashes are used, with shingles that are common in a sample last, so that few texts meet in one of those. Equal
-sets are one class. Classes are first compared with one or two others that share many keys; components of what was
-linked so need no pairs among themselves. All other pairs that share a key, and share as many as the similarity
-demands, are then compared. Each comparison is exact, on the whole sets (64-bit hashes stand for shingles), so no
-link is lost and none is added.
+"""Near-duplicates by SimHash links that an exact Jaccard check confirms, and no link lost.
+
+Texts whose sets of shingles overlap in four fifths of their union or more are linked. Equal sets are one class. The
+classes' fingerprints (simhash.py, over the same shingles) are compared tile by tile; what differs in at most `radius`
+bits is a candidate, and so is a class with one or two others that share many keys (below). Candidates are compared
+exactly, on the whole sets (64-bit hashes stand for shingles), and components are made of those that are similar.
+
+No radius covers a similarity of four fifths for certain, so the rest is found by prefixes: with every set in one
+order, two such sets share a member among the first n - ceil(4 n / 5) + 1 of each. Any order is right; hashes are
+used, with shingles that are common in a sample last, so that few texts meet in one of those. Pairs in different
+components that share such a key, and share as many as the similarity demands, are compared exactly as well. Members
+of one component need no pairs among themselves, which keeps large groups of copies cheap.
 """
 
 from __future__ import annotations
@@ -19,9 +22,12 @@ from pyspark.sql import functions as F
 
 from inkwell.llm.common import batch_of, map_batches, texts
 from inkwell.llm.components import components
-from inkwell.scratch import materialize
+from inkwell.llm.simhash import links, majority, shingle_hashes
+from inkwell.scratch import Scope, materialize
 
-WIDTH = 5
+WIDTH, SEED = 5, 42
+#: Bits in which fingerprints of candidates may differ: beyond, chance pairs of a large corpus outnumber the similar.
+RADIUS = 7
 #: Documents of the sample that tells common shingles, documents of it that a common one is in, and the most listed.
 SAMPLE, COMMON, LISTED = 20_000, 4, 100_000
 _LOWEST = np.int64(-(1 << 63))
@@ -29,15 +35,11 @@ _LOWEST = np.int64(-(1 << 63))
 
 def shingles(text: str, width: int = WIDTH) -> np.ndarray:
     """Distinct 63-bit hashes, ascending: A-Z lowered, words between ASCII spaces, shingles of `width` words."""
-    words = text.encode().lower().split()
-    if not words:
-        return np.zeros(0, np.int64)
-    data = b" ".join(words)
-    n = max(1, len(words) - width + 1)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts, stops = [0, *ends[: n - 1].tolist()], (ends[min(width, len(words)) - 1 :] - 1).tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.unique((np.array([digest(data[a:b]) for a, b in zip(starts, stops, strict=True)], "<u8") >> np.uint64(1)).view("<i8"))
+    return _distinct(shingle_hashes(text, width, SEED))
+
+
+def _distinct(hashes: np.ndarray) -> np.ndarray:
+    return np.unique((hashes >> np.uint64(1)).view("<i8"))
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -72,32 +74,49 @@ def _common(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def _prints(docs: DataFrame, kind: str) -> DataFrame:
-    """doc_id, digest (of the set), n (its members) and keys (its prefix) for every row."""
+    """doc_id, row (hash of the text), digest (of the set), n (its members), keys (its prefix), fp for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(_common(docs, docs.count()))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(t) for t in texts(batch)]
+        hashes = [shingle_hashes(t, WIDTH, SEED) for t in texts(batch)]
+        fps = np.array([majority(h) if len(h) > 1 else int(h.sum()) for h in hashes], "<u8").view("<i8")
+        sets = [_distinct(h) for h in hashes]
         keys = [_prefix(s, shared.value) for s in sets]
         offsets = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
         return batch_of(
-            doc_id=batch.column("doc_id"), digest=pa.array([_digest(s) for s in sets], pa.int64()), n=pa.array([len(s) for s in sets], pa.int32()),
-            keys=pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int64), *keys]))),
+            doc_id=batch.column("doc_id"), row=batch.column("row"), digest=pa.array([_digest(s) for s in sets], pa.int64()), n=pa.array([len(s) for s in sets], pa.int32()),
+            keys=pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int64), *keys]))), fp=pa.array(fps),
         )
 
-    return map_batches(docs.select("doc_id", "text"), lambda: work, f"doc_id {kind}, digest long, n int, keys array<long>")
+    plain = docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
+    return map_batches(plain, lambda: work, f"doc_id {kind}, row long, digest long, n int, keys array<long>, fp long")
+
+
+def _alike(classes: DataFrame, radius: int) -> DataFrame:
+    """(u, v): digests of classes whose fingerprints are equal or linked, by way of the least digest of each fingerprint."""
+    named = materialize(classes.groupBy("fp").agg(F.min("digest").alias("least")), "named")
+    found = links(named.select("fp"), named.count(), radius)
+    side = lambda name: named.select(F.col("fp").alias(name), F.col("least").alias(f"of_{name}"))
+    near = found.join(side("u"), "u").join(side("v"), "v").select(F.least("of_u", "of_v").alias("u"), F.greatest("of_u", "of_v").alias("v"))
+    same = classes.join(named, "fp").filter("digest > least").select(F.col("least").alias("u"), F.col("digest").alias("v"))
+    return near.union(same)
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(u, v): those of the pairs of digests whose sets, made anew from the texts, are similar."""
-    pairs = materialize(pairs, "pairs")
+    with Scope() as scope:
+        return scope.keep(_compared(materialize(pairs, "pairs"), docs, classes))
+
+
+def _compared(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     wanted = pairs.select(F.col("u").alias("digest")).union(pairs.select(F.col("v").alias("digest"))).distinct()
-    named = classes.join(wanted, "digest", "left_semi").select(F.col("first").alias("_id")).distinct().hint("shuffle_hash")
+    named = classes.join(wanted, "digest", "left_semi").select(F.col("first.doc_id").alias("_id"), F.col("first.row").alias("_row")).distinct()
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(t) for t in texts(batch)]
         return batch_of(digest=pa.array([_digest(s) for s in sets], pa.int64()), held=pa.array([s.tobytes() for s in sets], pa.binary()))
 
-    found = docs.select("doc_id", "text").join(named, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    found = docs.select("doc_id", "text").join(named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_row")), "left_semi")
     sets = materialize(map_batches(found, lambda: work, "digest long, held binary"), "sets").dropDuplicates(["digest"])
 
     def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -109,51 +128,87 @@ def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     return materialize(map_batches(sides.select("u", "v", "a", "b"), lambda: compare, "u long, v long"), "similar")
 
 
+#: Pairs that are handed on together, about.
+HANDED = 50_000
+
+
 def _across(batches):
     """(u, v, need) for pairs of a group's members in different components: `need` shared keys, or more, if similar."""
+    held, n_held = [], 0
     for big in batches:
-        for k in range(big.num_rows):
-            flat = pa.array(big.column("members").slice(k, 1)).flatten()
-            digest, n, last, comp = (flat.field(name).to_numpy(zero_copy_only=False).astype(np.int64) for name in ("digest", "n", "last", "comp"))
-            order = np.argsort(digest)
-            digest, n, last, comp = digest[order], n[order], last[order], comp[order]
+        lists = big.column("members")
+        flat, ends = lists.flatten(), lists.offsets.to_numpy()
+        columns = [flat.field(name).to_numpy(zero_copy_only=False).astype(np.int64) for name in ("digest", "n", "last", "comp")]
+        for start, end in zip((ends - ends[0]).tolist(), (ends[1:] - ends[0]).tolist(), strict=False):
+            order = start + np.argsort(columns[0][start:end])
+            digest, n, last, comp = (c[order] for c in columns)
             beyond = (4 * n + 4) // 5 - 1  # members after the prefix
             for i in range(len(digest) - 1):
                 j = np.arange(i + 1, len(digest))
                 j = j[(comp[j] != comp[i]) & (9 * np.minimum(n[j], n[i]) >= 4 * (n[j] + n[i]))]
                 if len(j):
                     need = -(-4 * (n[j] + n[i]) // 9) - np.where(last[i] <= last[j], beyond[i], beyond[j])
-                    yield batch_of(u=pa.array(np.full(len(j), digest[i])), v=pa.array(digest[j]), need=pa.array(need))
-
-
-def near_texts(docs: DataFrame) -> DataFrame:
-    """doc_id and component_id, the smallest doc_id reachable over links, for every row of docs (doc_id, text).
-
-    Null and empty texts are linked to each other and to nothing else; texts of fewer than WIDTH words are one shingle.
-    Null ids never become a component's id unless it has no other. An empty table gives an empty result.
+                    held.append((np.full(len(j), digest[i]), digest[j], need))
+                    n_held += len(j)
+                    if n_held > HANDED:
+                        yield batch_of(**{name: pa.array(np.concatenate(c)) for name, c in zip(("u", "v", "need"), zip(*held, strict=True), strict=True)})
+                        held, n_held = [], 0
+    if held:
+        yield batch_of(**{name: pa.array(np.concatenate(c)) for name, c in zip(("u", "v", "need"), zip(*held, strict=True), strict=True)})
+
+
+def near_texts(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """doc_id, row, component_id and kept for every row of docs (doc_id, text, and any other columns).
+
+    `row` is Spark's xxhash64 of the text; component_id the smallest doc_id reachable over links; `kept` tells the rows
+    with the smallest (doc_id, row) of their component, so one id and text for each. Null and empty texts are linked to
+    each other and to nothing else; texts of fewer than WIDTH words are one shingle. Null ids come after all others.
+    Texts may be as long as a cell can be; rows that are repeated are one class. An empty table gives an empty result.
     """
     prints = materialize(_prints(docs, docs.schema["doc_id"].dataType.simpleString()), "prints")
-    classes = materialize(prints.groupBy("digest").agg(F.min("doc_id").alias("first")), "classes")
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    classes = materialize(prints.groupBy("digest").agg(F.min(place).alias("first"), F.min("fp").alias("fp")), "classes")
     keys = prints.select("digest", "n", F.element_at("keys", -1).alias("last"), F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low < high")
-    hits = materialize(keys.join(shared.hint("shuffle_hash"), "key").distinct(), "hits")
+    hits = materialize(keys.join(shared, "key").distinct(), "hits")
 
     # A class meets the two classes that it shares most keys with, of those that are first and last in a group.
-    star = None
+    candidates = _alike(classes, radius)
     for end in ("low", "high"):
         met = hits.filter(f"digest <> {end}").groupBy("digest", F.col(end).alias("other"), "n").count().filter("20 * count >= n")
-        best = met.groupBy("digest").agg(F.max(F.struct("count", "other")).alias("_best")).select(F.least("digest", "_best.other").alias("u"), F.greatest("digest", "_best.other").alias("v"))
-        star = best if star is None else star.union(best)
-    first = _linked(star.distinct(), docs, classes)
+        best = met.groupBy("digest").agg(F.max(F.struct("count", "other")).alias("_best"))
+        candidates = candidates.union(best.select(F.least("digest", "_best.other").alias("u"), F.greatest("digest", "_best.other").alias("v")))
+    first = _linked(candidates.distinct(), docs, classes)
     roots = components(first).withColumnsRenamed({"u": "digest", "v": "root"})
 
     placed = materialize(hits.select("key", "digest", "n", "last").join(roots, "digest", "left").withColumn("comp", F.coalesce("root", "digest")).drop("root"), "placed")
     mixed = placed.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("key")
-    groups = placed.join(mixed.hint("shuffle_hash"), "key", "left_semi").groupBy("key").agg(F.collect_list(F.struct("digest", "n", "last", "comp")).alias("members"))
+    groups = placed.join(mixed, "key", "left_semi").groupBy("key").agg(F.collect_list(F.struct("digest", "n", "last", "comp")).alias("members"))
     pairs = groups.select("members").mapInArrow(_across, "u long, v long, need long").groupBy("u", "v").agg(F.count("*").alias("c"), F.min("need").alias("need")).filter("c >= need").select("u", "v")
     second = _linked(pairs, docs, classes)
 
     ends = components(first.union(second)).withColumnsRenamed({"u": "digest", "v": "root"})
     rooted = materialize(classes.join(ends, "digest", "left").select("digest", "first", F.coalesce("root", "digest").alias("root")), "rooted")
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.select("doc_id", "digest").join(rooted.join(least, "root").select("digest", "component_id"), "digest").select("doc_id", "component_id")
+    least = rooted.groupBy("root").agg(F.min("first").alias("least"))
+    named = rooted.join(least, "root").select("digest", "least")
+    return prints.select("doc_id", "row", "digest").join(named, "digest").select("doc_id", "row", F.col("least.doc_id").alias("component_id"), (F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("row") == F.col("least.row"))).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """Of each group of near-duplicates one row, that of the smallest id, with all its columns, whatever their names."""
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("held"))
+    narrow = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    with Scope() as scope:
+        groups = scope.keep(materialize(near_texts(narrow, radius).filter("kept").groupBy("doc_id", "row").agg(F.count("*").alias("times")), "groups"))
+
+    def rows_of(wanted: DataFrame) -> DataFrame:
+        return held.join(wanted, F.col("held").getField(id_col).eqNullSafe(F.col("doc_id")) & (F.xxhash64(F.col("held").getField(text_col)) == F.col("row")), "left_semi")
+
+    twice = groups.filter("times > 1")
+    if twice.isEmpty():
+        return rows_of(groups).select("held.*")
+    # Rows that are equal in id and text: a number for each, written with it, tells them apart, and the least one stays.
+    numbered = rows_of(twice).select("held", F.col("held").getField(id_col).alias("doc_id"), F.xxhash64(F.col("held").getField(text_col)).alias("row"), F.monotonically_increasing_id().alias("number"))
+    numbered = materialize(numbered, "numbered")
+    least = numbered.groupBy("doc_id", "row").agg(F.min("number").alias("number")).select("number")
+    return rows_of(groups.filter("times = 1")).select("held.*").unionByName(numbered.join(least, "number", "left_semi").select("held.*"))

@@ -52,16 +52,22 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) <= WINDOW, F.lit(0).cast("long")).otherwise(let(windows, of))
 
 
-def document_metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """doc_id, host and the counts of each document. A null text has no words; a null host is a host of its own."""
-    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
+def document_metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", held: bool = False) -> DataFrame:
+    """doc_id, host and the counts of each document, and with `held` its whole row as a struct of that name.
+
+    A null text has no words; a null host is a host of its own.
+    """
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("held")] if held else []
+    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.coalesce(F.col(text_col), F.lit("")).alias("body"), *row)
     words = F.array_remove(F.split("body", SPACE), "")
     lines = F.filter(F.split("body", "\n"), lambda x: x.rlike(NOT_SPACE))
-    split = plain.select("doc_id", "host", "body", words.alias("words"), lines.alias("lines"))
+    row = ["held"] if held else []
+    split = plain.select("doc_id", "host", *row, "body", words.alias("words"), lines.alias("lines"))
     without = lambda chars: F.length(F.translate("body", chars, ""))
     return split.select(
         "doc_id",
         "host",
+        *row,
         F.size("words").cast("long").alias("n_words"),
         without(" \t\n\x0b\x0c\r").cast("long").alias("word_chars"),
         (F.length("body") - without(SYMBOLS)).cast("long").alias("n_symbols"),
@@ -86,29 +92,12 @@ def host_verdicts(metrics: DataFrame, host_limit: float = 0.3) -> DataFrame:
     return hosts.select("host", "n_docs", "n_failed", shrunk.alias("host_rate"), (shrunk > host_limit).alias("host_failed"))
 
 
-def quality_rules(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    host_col: str = "source",
-    host_limit: float = 0.3,
-    own_limit: int = 2,
-    symbol_percent: int = 30,
-    dup_line_percent: int = 30,
-    word_length: tuple[int, int] = (2, 15),
-) -> DataFrame:
-    """One row per document: its counts, base_failed, n_soft, host_failed, kept.
-
-    Base rules: fewer than 20 words; more than 30 % of the words in repeated windows. Soft rules: more symbols
-    than symbol_percent of the words (two points); more than dup_line_percent of the lines repeat an earlier one;
-    a mean word length outside word_length (a point each). Null and empty texts have no words and fail. Repeated rows are judged one by one;
-    an empty table gives an empty result.
-    """
+def judge(metrics: DataFrame, symbol_percent: int = 30, dup_line_percent: int = 30, word_length: tuple[int, int] = (2, 15)) -> DataFrame:
+    """Metrics with base_failed, n_soft and failed, each from the document alone."""
     n = F.col("n_words")
     soft = lambda test: F.coalesce(test, F.lit(False)).cast("int")
-    judged = (
-        document_metrics(docs, id_col, text_col, host_col)
-        .withColumn("base_failed", (n < 20) | (100 * F.col("n_repeat_words") > 30 * n))
+    return (
+        metrics.withColumn("base_failed", (n < 20) | (100 * F.col("n_repeat_words") > 30 * n))
         .withColumn(
             "n_soft",
             2 * soft(100 * F.col("n_symbols") > symbol_percent * n)
@@ -117,7 +106,31 @@ def quality_rules(
         )
         .withColumn("failed", F.col("base_failed") | (F.col("n_soft") > 0))
     )
-    judged = materialize(judged, "quality")
+
+
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", host_limit: float = 0.3, own_limit: int = 2, **limits) -> DataFrame:
+    """One row per document: its counts, base_failed, n_soft, host_failed, kept.
+
+    Base rules: fewer than 20 words; more than 30 % of the words in repeated windows. Soft rules: more symbols
+    than symbol_percent of the words (two points); more than dup_line_percent of the lines repeat an earlier one;
+    a mean word length outside word_length (a point each). Null and empty texts have no words and fail; texts may be
+    as long as a cell can be. Repeated rows are judged one by one; other columns, whatever their names, are not read;
+    an empty table gives an empty result.
+    """
+    judged = materialize(judge(document_metrics(docs, id_col, text_col, host_col), **limits), "quality")
     hosts = host_verdicts(judged, host_limit).select(F.col("host").alias("of_host"), "host_failed")
     kept = ~F.col("base_failed") & (F.col("n_soft") < own_limit) & ~((F.col("n_soft") > 0) & F.col("host_failed"))
     return judged.join(hosts, F.col("host").eqNullSafe(F.col("of_host"))).drop("of_host", "failed").withColumn("kept", kept)
+
+
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", host_limit: float = 0.3, own_limit: int = 2, **limits) -> DataFrame:
+    """The rows of `docs` that quality_rules() keeps, with their columns.
+
+    Each row is judged by itself, ids play no part. Only rows whose host decides are joined with the hosts: the others
+    are not shuffled at all.
+    """
+    judged = materialize(judge(document_metrics(docs, id_col, text_col, host_col, held=True), **limits).select("held", "host", "base_failed", "n_soft", "failed"), "judged")
+    good = host_verdicts(judged, host_limit).filter(~F.col("host_failed")).select(F.col("host").alias("of_host"))
+    clean = judged.filter("not base_failed and n_soft = 0")
+    doubtful = judged.filter(f"not base_failed and n_soft > 0 and n_soft < {int(own_limit)}").join(good, F.col("host").eqNullSafe(F.col("of_host")), "left_semi")
+    return clean.unionByName(doubtful).select("held.*")

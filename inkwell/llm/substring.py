@@ -7,27 +7,25 @@ in two documents or more is repeated, and belongs to the document with the small
 one another are joined to spans, and spans of at least `min_words` words count as repeated passages.
 
 Digests are counted with a partial aggregation before the shuffle, so a passage in any share of the documents costs
-one row for each task; the join back is an equi-join whose hot digests adaptive execution splits.
+one row for each task; the joins are equi-joins that can spill and whose hot keys adaptive execution splits. What is
+cut from a text is cut by column expressions, so whole texts pass through Python once.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import SLICE_ROWS, batch_of, map_batches
-from inkwell.scratch import materialize
+from inkwell.llm.common import SLICE_ROWS, batch_of, let, map_batches
+from inkwell.scratch import Scope, materialize
 
 REACH = 3
 #: Words that a passage must have to be told from common phrases: chunks cover a passage but for its two ends.
 MIN_WORDS = 20
 GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint32)
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def gear_hashes(data: np.ndarray) -> np.ndarray:
@@ -112,7 +110,7 @@ def _passages(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> Da
     table = materialize(chunk_table(docs, id_col, text_col), "chunks")
     held = table.filter(~F.col("again")).groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count_if(F.col("doc_id").isNull()).alias("unnamed"))
     owners = held.filter("first < last or unnamed > 1 or (unnamed = 1 and first is not null)").select("digest", "first")
-    hits = table.join(owners.hint("shuffle_hash"), "digest").select("doc_id", "row", "at", "n", "first")
+    hits = table.join(owners, "digest").select("doc_id", "row", "at", "n", "first")
     # A row present twice has every chunk twice: a set holds it once.
     listed = hits.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set(F.struct("at", "n", "first"))).alias("marked"))
 
@@ -140,34 +138,29 @@ def _passages(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> Da
     return listed.mapInArrow(assemble, schema)
 
 
-def cut_words(text: str, removed: list[list[int]]) -> str:
+def _without(text: Column, removed: Column) -> Column:
     """The text without the words of the ranges, and without the white space after them."""
-    starts = [m.start() for m in WORD.finditer(text)] + [len(text)]
-    out, end = [], 0
-    for a, b in removed:
-        out.append(text[end : starts[a]])
-        end = starts[b]
-    return "".join([*out, text[end:]])
+    words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
+
+    def left(parts: Column) -> Column:
+        starts = F.concat(F.array(F.lit(0)), F.transform(removed, lambda r: r[1]))
+        ends = F.concat(F.transform(removed, lambda r: r[0]), F.array(F.size(parts)))
+        return F.array_join(F.zip_with(starts, ends, lambda a, b: F.array_join(F.slice(parts, a + 1, b - a), "")), "")
+
+    return F.concat(F.regexp_extract(text, r"^[\x20\x09-\x0D]*", 0), let(words, left))
 
 
 def remove_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without what they repeat from documents with smaller ids; what has no words left is dropped.
 
-    Other columns stay as they are, and so do rows that repeat nothing.
+    Other columns stay as they are, whatever their names, and so do rows that repeat nothing, null and empty texts
+    among them. Rows that share an id are cut each by its own text. An empty table stays empty.
     """
-    found = _passages(docs, min_words, id_col, text_col).filter("n_removed_words > 0").select(F.col("doc_id").alias("_of"), F.col("row").alias("_row"), F.col("removed").alias("_removed"))
-    joined = docs.join(found.hint("shuffle_hash"), (docs[id_col] == F.col("_of")) & (F.xxhash64(docs[text_col]) == F.col("_row")), "left").drop("_of", "_row")
-    at, last = docs.columns.index(text_col), len(docs.columns)
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        kept, cut = [], []
-        for k, (text, removed) in enumerate(zip(batch.column(at).to_pylist(), batch.column(last).to_pylist(), strict=True)):
-            new = cut_words(text, removed) if removed else text
-            if not removed or WORD.search(new):
-                kept.append(k)
-                cut.append(new)
-        rows = pa.array(kept, pa.int64())
-        columns = [pa.array(cut, batch.schema.field(k).type) if k == at else batch.column(k).take(rows) for k in range(last)]
-        return pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:last])
-
-    return map_batches(joined, lambda: work, docs.schema)
+    with Scope() as scope:
+        found = scope.keep(materialize(_passages(docs, min_words, id_col, text_col).filter("n_removed_words > 0").select("doc_id", "row", "removed"), "removed"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("held"))
+    text = F.col("held").getField(text_col)
+    joined = rows.join(found, F.col("held").getField(id_col).eqNullSafe(F.col("doc_id")) & (F.xxhash64(text) == F.col("row")), "left")
+    cut = F.when(F.col("removed").isNotNull(), _without(text, F.col("removed"))).otherwise(text)
+    kept = joined.select("held", "removed", cut.alias("cut")).filter(F.col("removed").isNull() | F.col("cut").rlike(r"[^\x20\x09-\x0D]"))
+    return kept.select(*[(F.col("cut") if c == text_col else F.col("held").getField(c)).alias(c) for c in docs.columns])

@@ -128,33 +128,63 @@ def _compared(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
     return materialize(map_batches(sides.select("u", "v", "a", "b"), lambda: compare, "u long, v long"), "similar")
 
 
-#: Pairs that are handed on together, about.
-HANDED = 50_000
+#: Pairs that are handed on together, about, and members of a group from which their keys are compared in the group.
+HANDED, MANY = 50_000, 32
 
 
-def _across(batches):
-    """(u, v, need) for pairs of a group's members in different components: `need` shared keys, or more, if similar."""
+def _across(batches, many):
+    """(u, v, c, need) for pairs of a group's members in different components: `need` shared keys, or more, if similar.
+
+    `met` is how many keys of a member any other class has; pairs that cannot share as many as they need are not made.
+    A small group gives its pairs with c = 1 for its own key. Members of a large group bring their keys of large groups:
+    those that two of them share are counted here, and a pair is given once, by the group of the first of them, if they
+    and what other keys the two may share suffice. So a large group gives few pairs that are not to be compared, and
+    holds no more than its members' keys.
+    """
     held, n_held = [], 0
+
+    def ready():
+        return batch_of(**{name: pa.array(np.concatenate(c)) for name, c in zip(("u", "v", "c", "need"), zip(*held, strict=True), strict=True)})
+
     for big in batches:
-        lists = big.column("members")
+        lists, own_keys = big.column("members"), big.column("key").to_numpy()
         flat, ends = lists.flatten(), lists.offsets.to_numpy()
-        columns = [flat.field(name).to_numpy(zero_copy_only=False).astype(np.int64) for name in ("digest", "n", "last", "comp")]
-        for start, end in zip((ends - ends[0]).tolist(), (ends[1:] - ends[0]).tolist(), strict=False):
+        columns = [flat.field(name).to_numpy(zero_copy_only=False).astype(np.int64) for name in ("digest", "n", "last", "comp", "met")]
+        listed, first = flat.field("keys"), ends[0]
+        for key, start, end in zip(own_keys.tolist(), (ends - first).tolist(), (ends[1:] - first).tolist(), strict=False):
             order = start + np.argsort(columns[0][start:end])
-            digest, n, last, comp = (c[order] for c in columns)
+            digest, n, last, comp, met = (c[order] for c in columns)
             beyond = (4 * n + 4) // 5 - 1  # members after the prefix
+            large = end - start > many
+            if large:
+                keys = [listed[k].values.to_numpy() for k in order.tolist()]
+                member = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+                every = np.concatenate(keys)
+                other = met - np.array([len(k) for k in keys])
+                by_key = np.argsort(every, kind="stable")
+                every, member = every[by_key], member[by_key]
             for i in range(len(digest) - 1):
                 j = np.arange(i + 1, len(digest))
                 j = j[(comp[j] != comp[i]) & (9 * np.minimum(n[j], n[i]) >= 4 * (n[j] + n[i]))]
+                need = -(-4 * (n[j] + n[i]) // 9) - np.where(last[i] <= last[j], beyond[i], beyond[j])
+                able = need <= np.minimum(met[j], met[i])
+                j, need, c = j[able], need[able], np.ones(int(able.sum()), np.int64)
+                if large and len(j):
+                    low, high = np.searchsorted(every, keys[i]), np.searchsorted(every, keys[i], side="right")
+                    runs = [member[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)]
+                    earlier = int(np.searchsorted(keys[i], key))
+                    before = np.bincount(np.concatenate([member[:0], *runs[:earlier]]), minlength=len(digest))[j]
+                    c = np.bincount(np.concatenate(runs), minlength=len(digest))[j]
+                    enough = (before == 0) & (c + np.minimum(other[j], other[i]) >= need)
+                    j, need, c = j[enough], need[enough], c[enough]
                 if len(j):
-                    need = -(-4 * (n[j] + n[i]) // 9) - np.where(last[i] <= last[j], beyond[i], beyond[j])
-                    held.append((np.full(len(j), digest[i]), digest[j], need))
+                    held.append((np.full(len(j), digest[i]), digest[j], c, need))
                     n_held += len(j)
                     if n_held > HANDED:
-                        yield batch_of(**{name: pa.array(np.concatenate(c)) for name, c in zip(("u", "v", "need"), zip(*held, strict=True), strict=True)})
+                        yield ready()
                         held, n_held = [], 0
     if held:
-        yield batch_of(**{name: pa.array(np.concatenate(c)) for name, c in zip(("u", "v", "need"), zip(*held, strict=True), strict=True)})
+        yield ready()
 
 
 def near_texts(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -171,20 +201,33 @@ def near_texts(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     keys = prints.select("digest", "n", F.element_at("keys", -1).alias("last"), F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low < high")
     hits = materialize(keys.join(shared, "key").distinct(), "hits")
+    # `met`: how many of a class's keys any other class has. The hub of a group is the member with the least share of
+    # keys that no other has, as the text that near copies were made from is.
+    hits = materialize(hits.join(hits.groupBy("digest").agg(F.count("*").alias("met")), "digest"), "hits")
+    hubs = hits.groupBy("key").agg(F.max(F.struct((F.col("met") / F.col("n")).alias("share"), "digest")).alias("_hub")).select("key", F.col("_hub.digest").alias("hub"))
+    hits = materialize(hits.join(hubs, "key"), "hits")
 
-    # A class meets the two classes that it shares most keys with, of those that are first and last in a group.
+    # A class meets those that it shares most keys with, of the hubs, first and last members of its groups.
     candidates = _alike(classes, radius)
-    for end in ("low", "high"):
+    for end in ("hub", "low", "high"):
         met = hits.filter(f"digest <> {end}").groupBy("digest", F.col(end).alias("other"), "n").count().filter("20 * count >= n")
         best = met.groupBy("digest").agg(F.max(F.struct("count", "other")).alias("_best"))
         candidates = candidates.union(best.select(F.least("digest", "_best.other").alias("u"), F.greatest("digest", "_best.other").alias("v")))
     first = _linked(candidates.distinct(), docs, classes)
     roots = components(first).withColumnsRenamed({"u": "digest", "v": "root"})
 
-    placed = materialize(hits.select("key", "digest", "n", "last").join(roots, "digest", "left").withColumn("comp", F.coalesce("root", "digest")).drop("root"), "placed")
+    placed = materialize(hits.select("key", "digest", "n", "last", "met").join(roots, "digest", "left").withColumn("comp", F.coalesce("root", "digest")).drop("root"), "placed")
     mixed = placed.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("key")
-    groups = placed.join(mixed, "key", "left_semi").groupBy("key").agg(F.collect_list(F.struct("digest", "n", "last", "comp")).alias("members"))
-    pairs = groups.select("members").mapInArrow(_across, "u long, v long, need long").groupBy("u", "v").agg(F.count("*").alias("c"), F.min("need").alias("need")).filter("c >= need").select("u", "v")
+    # A pair's keys are counted once each: those of large groups by the group of the first of them, others one by one.
+    within = placed.join(mixed, "key", "left_semi")
+    sizes = within.groupBy("key").agg(F.count("*").alias("size"))
+    large = materialize(within.join(sizes.filter(F.col("size") > MANY).select("key"), "key", "left_semi"), "large")
+    lists = large.groupBy("digest").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    none = F.array().cast("array<long>")
+    both = within.join(sizes.filter(F.col("size") <= MANY).select("key"), "key", "left_semi").withColumn("keys", none).unionByName(large.join(lists, "digest"))
+    groups = both.groupBy("key").agg(F.collect_list(F.struct("digest", "n", "last", "comp", "met", "keys")).alias("members"))
+    many = MANY
+    pairs = groups.select("key", "members").mapInArrow(lambda batches: _across(batches, many), "u long, v long, c long, need long").groupBy("u", "v").agg(F.sum("c").alias("c"), F.min("need").alias("need")).filter("c >= need").select("u", "v")
     second = _linked(pairs, docs, classes)
 
     ends = components(first.union(second)).withColumnsRenamed({"u": "digest", "v": "root"})

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 import corpus_pipeline as cp
-from inkwell.llm import jaccard
+from inkwell.llm import jaccard, simhash
 from tests.llm.test_operators import brute_print, passage
 
 
@@ -47,7 +49,7 @@ def cases():
 def test_near_texts(spark):
     rows = cases()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = [tuple(r) for r in jaccard.near_texts(docs).collect()]
+    got = [(r["doc_id"], r["component_id"]) for r in jaccard.near_texts(docs).collect()]
     assert sorted(got, key=repr) == sorted(brute_components(rows), key=repr)
     assert jaccard.near_texts(docs.limit(0)).count() == 0
 
@@ -56,10 +58,36 @@ def test_near_texts_with_common_shingles(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "COMMON", 1)
     monkeypatch.setattr(jaccard, "LISTED", 300)
     rows = cases()
-    got = [tuple(r) for r in jaccard.near_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    got = [(r["doc_id"], r["component_id"]) for r in jaccard.near_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert sorted(got, key=repr) == sorted(brute_components(rows), key=repr)
 
 
+@pytest.mark.parametrize("many", [1, 3])
+def test_near_texts_in_large_groups(spark, monkeypatch, many):
+    monkeypatch.setattr(jaccard, "MANY", many)
+    monkeypatch.setattr(jaccard, "RADIUS", 0)
+    base = [passage(2000 + k, 60) for k in range(3)]
+    rows = list(enumerate([*base, *(edited(base[k % 3], 300 + k, 1 + k % 4) for k in range(60)), *(f"{base[0]} {passage(700 + k, 6 + k)}" for k in range(12))]))
+    got = [(r["doc_id"], r["component_id"]) for r in jaccard.near_texts(spark.createDataFrame(rows, "doc_id long, text string"), radius=0).collect()]
+    assert sorted(got) == sorted(brute_components(rows))
+
+
+def test_simhash_in_panels(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    monkeypatch.setattr(simhash, "PANELS", 5)
+    texts = [passage(k, 40) for k in range(500)]
+    texts += [t.rsplit(" ", 1)[0] for t in texts[:100]] + [t + f" z{k}" for k, t in enumerate(texts[50:150])]
+    prints = [brute_print(t) for t in texts]
+    parent = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 12 and parent[i] != parent[j]:
+                low, high = sorted((parent[i], parent[j]))
+                parent = [low if p == high else p for p in parent]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), radius=12).collect()}
+    assert got == dict(enumerate(parent)) and len(set(parent)) < 600
+
+
 def test_stage_drops_copies_beyond_three_bits(spark):
     a = passage(1, 300)
     b = edited(a, 1, 5)

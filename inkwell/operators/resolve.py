@@ -35,11 +35,12 @@ def resolve(entries: DataFrame, tables: DataFrame) -> DataFrame:
     tables: paper_id, table_id, document_order, dom_ids (of the table and all that is in it), labels, forms (normal
     LaTeX). The steps: the first annotation id within a table; the audit's anchor; the only table with the label; of
     several with it the only one with the LaTeX; the only table with the LaTeX. An id that several elements bear is
-    that of the first in the document.
+    that of the first in the document, the smallest table_id among equal places; tables without a place have no ids.
+    An entry without an equation_id has no label.
     """
     key = ["paper_id", "equation_id"]
-    first = F.min_by("table_id", "document_order")
-    dom = tables.select("paper_id", "table_id", "document_order", F.explode("dom_ids").alias("dom_id")).groupBy("paper_id", "dom_id").agg(first.alias("table_id"))
+    first = F.min_by("table_id", F.struct("document_order", "table_id"))
+    dom = tables.filter("document_order is not null").select("paper_id", "table_id", "document_order", F.explode("dom_ids").alias("dom_id")).groupBy("paper_id", "dom_id").agg(first.alias("table_id"))
     named = tables.select("paper_id", "table_id", F.explode(F.array_distinct("labels")).alias("equation_id"))
     formed = tables.select("paper_id", "table_id", F.explode(F.array_distinct("forms")).alias("latex")).filter("latex <> ''")
     own = entries.select(*key, normal_latex("equation").alias("latex")).filter("latex <> ''")
@@ -53,7 +54,8 @@ def resolve(entries: DataFrame, tables: DataFrame) -> DataFrame:
     steps = [by_annotation, by_anchor, only(labelled, "_t2"), only(labelled.join(exact, [*key, "table_id"]), "_t3"), only(exact, "_t4")]
     out = entries
     for step in steps:
-        out = out.join(step, key, "left")
+        found = step.withColumnsRenamed({"paper_id": "_paper", "equation_id": "_equation"})
+        out = out.join(found, (F.col("paper_id") == F.col("_paper")) & F.col("equation_id").eqNullSafe(F.col("_equation")), "left").drop("_paper", "_equation")
     methods = ("annotation_id", "audit_anchor_id", "visible_label", "visible_label_and_latex", "exact_latex")
     columns = [f"_t{k}" for k in range(len(steps))]
     method = F.coalesce(*[F.when(F.col(c).isNotNull(), m) for c, m in zip(columns, methods, strict=True)], F.lit("unresolved"))

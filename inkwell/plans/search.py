@@ -158,18 +158,19 @@ def priority_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 def equation_resolver(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers matched with parts by id, anchor, label and LaTeX, five steps in their order."""
     part = table(spark, sf_dir, "part")
+    sized = lambda form: F.when(F.col("p_size").isNotNull(), F.format_string(form, F.col("p_size")))
     tables = part.select(
         (F.col("p_partkey") % 40).alias("paper_id"), F.col("p_partkey").alias("table_id"), F.col("p_size").alias("document_order"),
         F.array(F.concat(F.lit("T"), F.col("p_partkey").cast("string")), F.concat(F.lit("B"), F.col("p_brand"))).alias("dom_ids"),
-        F.array(F.col("p_brand"), F.col("p_type")).alias("labels"), F.array(resolve.normal_latex(F.format_string(r"\left(x_{%d}\right)", F.col("p_size")))).alias("forms"),
+        F.array(F.col("p_brand"), F.col("p_type")).alias("labels"), F.array(resolve.normal_latex(sized(r"\left(x_{%d}\right)"))).alias("forms"),
     )
     key = F.col("c_custkey")
-    entries = table(spark, sf_dir, "customer").join(part.select("p_partkey", "p_brand", "p_type", "p_size"), F.col("c_custkey") % 200 + 1 == F.col("p_partkey"), "left").select(
-        (key % 40).alias("paper_id"), F.when(key % 3 == 0, F.col("p_type")).otherwise(F.col("p_brand")).alias("equation_id"), key.alias("c_custkey"), F.format_string("( x_%d )", F.col("p_size")).alias("equation"),
+    entries = table(spark, sf_dir, "customer").join(part.select("p_partkey", "p_brand", "p_type", "p_size"), F.col("c_custkey") % 200 + 1 == F.col("p_partkey")).select(
+        (key % 40).alias("paper_id"), F.when(key % 3 == 0, F.col("p_type")).otherwise(F.col("p_brand")).alias("equation_id"), key.alias("c_custkey"), sized("( x_%d )").alias("equation"),
         F.when(key % 7 == 0, F.array(F.lit("none"), F.concat(F.lit("T"), key.cast("string")))).otherwise(F.array().cast("array<string>")).alias("annotation_ids"),
         F.when(key % 5 == 0, F.concat(F.lit("B"), F.col("p_brand"))).alias("audit_anchor_id"),
     )
-    once = selection.dedupe_first(entries.filter("equation_id is not null"), F.concat_ws("/", "paper_id", "equation_id"), "c_custkey")
+    once = selection.dedupe_first(entries, F.concat_ws("/", "paper_id", "equation_id"), "c_custkey")
     return resolve.resolve(once, tables).select("c_custkey", "table_id", "match_method")
 
 

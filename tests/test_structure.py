@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from inkwell.functions import evidence, tokens
 from inkwell.functions import windows as plain_windows
 from inkwell.operators import chunks, context, embedding, export, meanings, ordering, reports, resolve, structure, symbol_meanings, validate, vectors, windows
+from inkwell.plans import search
 from inkwell.sources import fetch, readers, sinks
 
 
@@ -73,6 +75,29 @@ def test_resolver(spark):
     assert {(r["paper_id"], r["equation_id"]): (r["table_id"], r["match_method"]) for r in got.collect()} == {e[:2]: e[5] for e in entries}
 
 
+def test_resolver_at_equal_places(spark):
+    tables = [("p", 9, 1, ["a"], [], []), ("p", 3, 1, ["a", "b"], [], []), ("p", 7, 1, ["a", "b"], [], []), ("p", 1, 2, ["a", "b"], [], []), ("p", 2, None, ["a", "c"], [], []), ("p", 4, 1, [], ["n"], ["x"])]
+    entries = [("p", "8", "", ["c", "a"], None, (3, "annotation_id")), ("p", "9", "", [], "b", (3, "audit_anchor_id")), ("p", "10", "", ["c"], None, (None, "unresolved")), ("p", None, "x", [], None, (4, "exact_latex"))]
+    asked = spark.createDataFrame([e[:5] for e in entries], "paper_id string, equation_id string, equation string, annotation_ids array<string>, audit_anchor_id string")
+    for rows in (tables, tables[::-1]):
+        got = resolve.resolve(asked, spark.createDataFrame(rows, "paper_id string, table_id int, document_order int, dom_ids array<string>, labels array<string>, forms array<string>").coalesce(1))
+        assert {(r["paper_id"], r["equation_id"]): (r["table_id"], r["match_method"]) for r in got.collect()} == {e[:2]: e[5] for e in entries}
+
+
+@pytest.mark.parametrize("odd", ["p_size = 7", "p_size = CASE WHEN p_partkey % 3 > 0 THEN p_size END", "p_brand = CASE WHEN p_partkey % 3 > 0 THEN p_brand END", "p_type = CASE WHEN p_partkey % 4 > 0 THEN p_type END"])
+def test_resolver_query_on_odd_parts(spark, tmp_path, odd):
+    con = duckdb.connect(config={"threads": 1})  # of equal places DuckDB then takes the first row, of the smallest id here
+    con.sql("""CREATE TABLE part AS SELECT i AS p_partkey, 'Brand#' || hash(i) % 7 AS p_brand, 'TYPE ' || hash(-i) % 5 AS p_type, (hash(i + 1000) % 9)::INT AS p_size FROM range(600) r(i)""")
+    con.sql("CREATE TABLE customer AS SELECT i AS c_custkey FROM range(1500) r(i)")
+    con.sql(f"UPDATE part SET {odd}")
+    for name, by in (("part", "p_partkey"), ("customer", "c_custkey")):
+        con.sql(f"COPY (SELECT * FROM {name} ORDER BY {by}) TO '{tmp_path}/{name}.parquet'")
+        con.sql(f"DROP TABLE {name}; CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    got = search.equation_resolver(spark, str(tmp_path))
+    want = con.sql(search.ORACLE_SQL["equation_resolver"])
+    assert sorted(map(tuple, got.select(want.columns).collect()), key=str) == sorted(want.fetchall(), key=str)
+
+
 def test_annotations_and_audits(spark):
     rows = spark.createDataFrame([(['<math><annotation encoding="x" id="a.1">t</annotation></math>', "<p>none</p>", "<annotation id='a.1'></annotation><annotation id='b'></annotation>", "<annotation></annotation><annotation id='c'>"],), (None,)], "h array<string>")
     assert [r[0] for r in rows.select(resolve.annotation_ids(F.col("h"))).collect()] == [["a.1"], []]

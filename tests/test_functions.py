@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -141,3 +144,18 @@ def test_meanings_by_score():
     after = {"chunk_id": "p:sentence:2", "score": 1.0, "text": "Equation (3): H=x\nWe use it to derive the dispersion relation."}
     assert meaning_of("3", "", [after])["meaning"] == "the dispersion relation"
     assert meaning.extract_span("Eq. (3) describes the energy of it.", "3", "retrieved") == ("the energy of it", "explicit_description")
+
+
+def test_phrases_of_long_texts_take_linear_time():
+    began = time.process_time()
+    assert phrases.clean("state of words without marks " * 20_000)["strategy"] == "science_head_window"
+    assert time.process_time() - began < 4  # 7 seconds if every place is tried as the beginning of a phrase
+
+
+def test_places_where_phrases_end_give_the_matches_of_the_whole_pattern():
+    rng = random.Random(3)
+    words = "the a Our energy state x is are can be written given takes has the form , ; : . 1 \\omega ſ é".split()
+    for n in range(2000):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(1, 70))).replace("energy", "e" * rng.randint(1, 190)).replace(" ", "  " if n % 9 == 0 else " ", 3)
+        for strategy, _, pattern in phrases.TEMPLATES:
+            assert [m.span() for m in phrases.matches(strategy, pattern, text)] == [m.span() for m in pattern.finditer(text)]

@@ -55,10 +55,16 @@ def synthetic_sections(paragraphs: DataFrame) -> DataFrame:
 
 def split_labels(references: DataFrame, equations: DataFrame) -> DataFrame:
     """Add `resolved` and `unresolved`: the targets of each reference that are equations of the paper, or not, in order and each once."""
-    known = equations.groupBy("paper_id").agg(F.collect_set("equation_id").alias("_known"))
-    joined = references.join(known, "paper_id", "left").withColumn("_known", F.coalesce("_known", F.array().cast("array<string>")))
-    each = F.array_distinct("targets")
-    return joined.withColumn("resolved", F.array_intersect(each, "_known")).withColumn("unresolved", F.array_except(each, "_known")).drop("_known")
+    key = ["paper_id", "targets"]
+    known = equations.select("paper_id", F.col("equation_id").alias("_t"), F.lit(True).alias("_is")).distinct()
+    lists = references.select(*key).distinct()  # no row is wider than its own targets, however many equations a paper has
+    each = lists.select(*key, F.posexplode(F.array_distinct("targets")).alias("_k", "_t")).join(known, ["paper_id", "_t"])
+    found = each.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_k", "_t"))).alias("_f"))
+    named = found.select(F.col("paper_id").alias("_paper"), F.col("targets").alias("_targets"), F.transform("_f", lambda x: x["_t"]).alias("_resolved"))
+    joined = references.join(named, (F.col("paper_id") == F.col("_paper")) & (F.col("targets") == F.col("_targets")), "left")
+    none = F.when(F.col("targets").isNotNull(), F.array().cast("array<string>"))
+    resolved = F.coalesce("_resolved", none)
+    return joined.withColumn("resolved", resolved).withColumn("unresolved", F.array_except(F.array_distinct("targets"), resolved)).drop("_paper", "_targets", "_resolved")
 
 
 def paper_totals(papers: DataFrame, **parts: DataFrame) -> DataFrame:

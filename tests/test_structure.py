@@ -321,3 +321,14 @@ def test_subsets_and_sinks(spark, tmp_path):
         sinks.write_review_sample(rows.withColumn("paper_id", F.lit("../x")), str(tmp_path / "bad"))
     with pytest.raises(ValueError):
         sinks.write_postprocessed(rows, str(tmp_path / "a"), str(tmp_path / "a/"))
+
+
+def test_split_labels_brings_no_set_of_a_papers_equations_to_its_references(spark):
+    rows = [(1, ["7", "x", "7", None, "2"]), (1, ["7", "x", "7", None, "2"]), (1, []), (1, None), (2, ["7"]), (None, ["7"])]
+    references = spark.createDataFrame(rows, "paper_id long, targets array<string>")
+    equations = spark.createDataFrame([(1, "2"), (1, "7"), (1, "7"), (1, None), (None, "7")], "paper_id long, equation_id string")
+    found = structure.split_labels(references, equations)
+    assert "collect_set" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((tuple(r) for r in found.select("paper_id", "targets", "resolved", "unresolved").collect()), key=str)
+    both = (1, ["7", "x", "7", None, "2"], ["7", "2"], ["x", None])
+    assert got == sorted([both, both, (1, [], [], []), (1, None, None, None), (2, ["7"], [], ["7"]), (None, ["7"], [], ["7"])], key=str)

@@ -49,16 +49,24 @@ def stratified_sample(rows: DataFrame, stratum: str, key: Column, per_stratum: i
     return ranked.withColumn("rank", rank).filter(F.col("rank") <= per_stratum)
 
 
-def priority_cascade(left: DataFrame, left_key: str, steps: list[tuple[str, DataFrame, Column]], target: str) -> DataFrame:
+def priority_cascade(left: DataFrame, left_key: str, steps: list[tuple[str, DataFrame, Column | list[tuple[Column, str]]]], target: str) -> DataFrame:
     """Resolve each left row by the first step with exactly one distinct target.
 
-    A step is (method, candidates, condition); candidates has `target`, and the condition joins it to left. A step
-    that finds several targets, or none, leaves the row to the next; `match_method` is unresolved if none decides.
+    A step is (method, candidates, condition); candidates has `target`, and the condition joins it to left. Equal keys
+    are best given as a list of (left expression, candidates' column): then the candidates of a key become one row
+    before they meet left, so that many of them cost no pairs. A step that finds several targets, or none, leaves the
+    row to the next; `match_method` is unresolved if none decides.
     """
     out = left
     for k, (_, candidates, condition) in enumerate(steps):
-        found = left.join(candidates, condition).groupBy(left[left_key].alias("_key")).agg(F.count_distinct(target).alias("_n"), F.min(target).alias(f"_t{k}"))
-        out = out.join(found.filter("_n = 1").drop("_n"), out[left_key] == F.col("_key"), "left").drop("_key")
+        if isinstance(condition, list):
+            least = candidates.groupBy(*[F.col(c).alias(f"_c{i}") for i, (_, c) in enumerate(condition)]).agg(F.min(target).alias("_low"), F.max(target).alias("_high"))
+            asked = left.select(F.col(left_key).alias("_key"), *[e.alias(f"_c{i}") for i, (e, _) in enumerate(condition)])
+            pairs = asked.join(least, [f"_c{i}" for i in range(len(condition))])
+        else:
+            pairs = left.join(candidates, condition).select(left[left_key].alias("_key"), F.col(target).alias("_low"), F.col(target).alias("_high"))
+        found = pairs.groupBy("_key").agg(F.min("_low").alias(f"_t{k}"), F.max("_high").alias("_high")).filter(F.col(f"_t{k}") == F.col("_high")).drop("_high")
+        out = out.join(found, out[left_key] == F.col("_key"), "left").drop("_key")
     targets = [F.col(f"_t{k}") for k in range(len(steps))]
     method = F.coalesce(*[F.when(t.isNotNull(), name) for t, (name, _, _) in zip(targets, steps, strict=True)], F.lit("unresolved"))
     return out.withColumn(target, F.coalesce(*targets)).withColumn("match_method", method).drop(*[f"_t{k}" for k in range(len(steps))])

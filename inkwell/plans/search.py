@@ -151,7 +151,7 @@ def priority_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     right = table(spark, sf_dir, "supplier")
     by_key = right.select(F.col("s_suppkey").alias("target"), F.col("s_suppkey").alias("k"))
     by_nation = right.select(F.col("s_suppkey").alias("target"), F.col("s_nationkey").alias("nk"), F.floor(F.col("s_acctbal") / 100).alias("b"))
-    steps = [("key", by_key, F.col("c_custkey") == F.col("k")), ("nation_balance", by_nation, (F.col("c_nationkey") == F.col("nk")) & (F.floor(F.col("bal") / 100) == F.col("b")))]
+    steps = [("key", by_key, [(F.col("c_custkey"), "k")]), ("nation_balance", by_nation, [(F.col("c_nationkey"), "nk"), (F.floor(F.col("bal") / 100), "b")])]
     return selection.priority_cascade(left, "c_custkey", steps, "target").select("c_custkey", "target", "match_method")
 
 

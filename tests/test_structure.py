@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import evidence, tokens
 from inkwell.functions import windows as plain_windows
-from inkwell.operators import chunks, context, embedding, export, meanings, ordering, reports, resolve, structure, symbol_meanings, validate, vectors, windows
+from inkwell.operators import chunks, context, embedding, export, meanings, ordering, reports, resolve, selection, structure, symbol_meanings, validate, vectors, windows
 from inkwell.plans import search
 from inkwell.sources import fetch, readers, sinks
 
@@ -332,3 +332,15 @@ def test_split_labels_brings_no_set_of_a_papers_equations_to_its_references(spar
     got = sorted((tuple(r) for r in found.select("paper_id", "targets", "resolved", "unresolved").collect()), key=str)
     both = (1, ["7", "x", "7", None, "2"], ["7", "2"], ["x", None])
     assert got == sorted([both, both, (1, [], [], []), (1, None, None, None), (2, ["7"], [], ["7"]), (None, ["7"], [], ["7"])], key=str)
+
+
+def test_priority_cascade_makes_one_row_of_the_candidates_of_a_key(spark):
+    left = spark.createDataFrame([(1, "a", 1), (2, "b", 9), (3, "c", None), (4, "d", 2), (4, "e", 2)], "k long, name string, n long")
+    named = spark.createDataFrame([(10, "a"), (11, "c"), (12, "c"), (10, "a")], "target long, name string")
+    numbered = spark.createDataFrame([(7, 2), (7, 2), (8, 9), (9, None)] + [(n, 1) for n in range(500)], "target long, n long")
+    equal = [("name", named, [(F.col("name"), "name")]), ("number", numbered, [(F.col("n"), "n")])]
+    got = selection.priority_cascade(left, "k", equal, "target")
+    rows = sorted((r["k"], r["target"], r["match_method"]) for r in got.select("k", "target", "match_method").fillna(-1).collect())
+    assert rows == [(1, 10, "name"), (2, 8, "number"), (3, -1, "unresolved"), (4, 7, "number"), (4, 7, "number")]
+    plan = search.priority_cascade(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "count(distinct" not in plan and plan.count("Aggregate [") >= 4

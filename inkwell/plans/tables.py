@@ -180,7 +180,7 @@ def section_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many sentences each text has and how long they are, split after . ! ? (X4, simple form)."""
     parts = sentences(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(parts).alias("n_sentences"), F.aggregate(parts, F.lit(0), lambda a, s: a + F.length(s)).alias("n_chars_in"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(parts).alias("n_sentences"), F.coalesce(F.aggregate(parts, F.lit(0).cast("long"), lambda a, s: a + F.length(s)), F.lit(0)).alias("n_chars_in"))
 
 
 def ordered_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from inkwell.functions import tokens, windows
+from inkwell.functions.text import sentences
 from inkwell.operators import embedding, reports, weak_labels
 from inkwell.operators.symbols import clean_phrase
+from inkwell.plans import tables
 from inkwell.sources import html
 
 
@@ -113,3 +116,26 @@ def test_inline_math(spark):
     rows = html.inline_math_index(spark.createDataFrame([("p", page), ("q", None)], "paper_id string, html string")).collect()
     assert [(r["canonical"], r["occurrences"]) for r in rows] == [("u^L_n", 2)] * 2
     assert {r["paragraph"] for r in rows if r["paragraph_id"] == "a"} == {"Let $u^{L}_{n}$ be it."}
+
+
+def test_sentences_keep_the_digits_at_their_ends(spark):
+    rows = spark.createDataFrame([(1, "Zero 0. 19.37.233.111 is 1. 2 of 2"), (2, "a.\x0bb.\fc. d"), (3, "a\x01b"), (4, "")], "k int, t string")
+    got = {r["k"]: r["s"] for r in rows.select("k", sentences(F.col("t")).alias("s")).collect()}
+    assert got == {1: ["Zero 0.", "19.37.233.111 is 1.", "2 of 2"], 2: ["a.\x0bb.", "c. d"], 3: ["a", "b"], 4: []}
+
+
+@pytest.mark.parametrize("name", ["sentence_split", "chunk_union"])
+def test_sentence_queries_agree_with_their_sql_on_digits_and_null_texts(spark, tmp_path, name):
+    rows = [(1, "One. 19.37.233.111 is 1. 2 of 2\nX. 1 and 1"), (2, None), (3, ""), (4, "a.\x0bb. \x01c")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(tables.ORACLE_SQL[name])
+    got = tables.QUERIES[name](spark, str(tmp_path)).select(*want.columns).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want.fetchall(), key=str)
+
+
+def test_references_cut_off_in_a_title_stay_text():
+    title = lambda h: html.parse_page(h, html.PLAIN)["title"]
+    assert title("<h1>a &amp;&amp <b>&lt;x&gt; &#65; &#x42; R&D &copy 1</b></h1><h1>c</h1>") == "a &&amp <x> A B R&D &copy 1"
+    assert title("<h1>cut &am") == "cut &am"

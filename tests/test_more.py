@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import tokens, windows
 from inkwell.functions.text import sentences
-from inkwell.operators import embedding, reports, weak_labels
+from inkwell.operators import embedding, reports, retrieval, scoring, weak_labels
 from inkwell.operators.symbols import clean_phrase
 from inkwell.plans import tables
 from inkwell.sources import html
@@ -139,3 +139,32 @@ def test_references_cut_off_in_a_title_stay_text():
     title = lambda h: html.parse_page(h, html.PLAIN)["title"]
     assert title("<h1>a &amp;&amp <b>&lt;x&gt; &#65; &#x42; R&D &copy 1</b></h1><h1>c</h1>") == "a &&amp <x> A B R&D &copy 1"
     assert title("<h1>cut &am") == "cut &am"
+
+
+def _random_search(spark, n=300):
+    rng = np.random.default_rng(4)
+    word = lambda k: [str(w) for w in rng.zipf(1.4, k) % 40]
+    docs = [(int(d), str(d % 3), word(int(rng.integers(0, 30)))) for d in rng.permutation(n)] + [(n, "0", []), (n + 1, "1", None)]
+    docs += [(n + 2 + k, "1", docs[k][2]) for k in range(60)]
+    return spark.createDataFrame(docs, "doc_id int, lang string, tokens array<string>").repartition(5), spark.createDataFrame([(q, word(6)) for q in "abcd"] + [("none", ["unknown"])], "qid string, tokens array<string>")
+
+
+def test_best_documents_by_bm25_are_those_of_all_scores_and_only_they_are_shuffled(spark):
+    docs, asked = _random_search(spark)
+    got = retrieval.bm25_top(docs, asked, 7, F.col("lang") != "0")
+    want = retrieval.top_k(retrieval.bm25(docs, asked).join(docs.filter("lang <> '0'"), "doc_id", "left_semi"), 7)
+    rows = lambda df: sorted(tuple(r) for r in df.select("qid", "doc_id", "rank", "score").collect())
+    assert rows(got) == rows(want) and len(rows(got)) == 28
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    many = scoring.MOST_TERMS
+    try:
+        scoring.MOST_TERMS = 1
+        assert rows(retrieval.bm25_top(docs, asked, 7, F.col("lang") != "0")) == rows(want)
+    finally:
+        scoring.MOST_TERMS = many
+
+
+def test_rounding_is_sparks(spark):
+    x = np.concatenate([np.random.default_rng(1).uniform(0, 30, 500), (np.arange(500) * 2 + 1) / 2e6, [1.0000005, 2.5e-7, 5e-7, 1234.5678905]])
+    got = [r[0] for r in spark.createDataFrame([(float(v),) for v in x], "x double").select(F.round("x", 6)).collect()]
+    assert scoring.rounded(x).tolist() == got

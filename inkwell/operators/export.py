@@ -5,18 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.operators.validate import coverage, gather, not_unique, require
+from inkwell.operators.validate import coverage, gather, grid_coverage, not_unique, require
 
 
 def nest(rows: DataFrame, by: list[str], key: str, value: Column, name: str, order: Column | None = None) -> DataFrame:
     """One row for each group with a map from key to value, in order.
 
-    Values may be of any type, maps among them, so entries are put in order by (order, key) alone.
+    Values may be of any type. Maps cannot be compared, so entries with a map are put in order by (order, key) alone;
+    others by all they have, which is the same as keys are unique, without calling a function for each comparison.
     """
-    entry = F.struct((F.col(key) if order is None else order).alias("o"), F.col(key).alias("k"), value.alias("v"))
-    place = lambda e: F.struct(e["o"], e["k"])
+    entry = F.struct(*([] if order is None else [order.alias("o")]), F.col(key).alias("k"), value.alias("v"))
+    listed = F.collect_list(entry)
+    place = lambda e: e["k"] if order is None else F.struct(e["o"], e["k"])
     rank = lambda a, b: F.when(place(a) < place(b), -1).when(place(a) > place(b), 1).otherwise(0)
-    pairs = F.transform(F.array_sort(F.collect_list(entry), rank), lambda e: F.struct(e["k"], e["v"]))
+    plain = "map<" not in rows.select(value.alias("v")).schema["v"].dataType.simpleString()
+    ranked = F.array_sort(listed) if plain else F.array_sort(listed, rank)
+    pairs = ranked if plain and order is None else F.transform(ranked, lambda e: F.struct(e["k"], e["v"]))
     return rows.groupBy(*by).agg(F.map_from_entries(pairs).alias(name))
 
 
@@ -49,14 +53,13 @@ def strict_export(equations: DataFrame, meanings: DataFrame, symbols: DataFrame,
     """
     key = ["paper_id", "equation_id"]
     ids = F.concat_ws("/", *key)
-    grid = equations.select("paper_id", F.col("equation_id").alias("src")).join(equations.select("paper_id", F.col("equation_id").alias("dst")), "paper_id").filter("src <> dst")
     named = lambda errors, what: errors.select(F.concat(F.lit(what + " "), ids).alias("entity"), "error")
     require(
         gather(
             not_unique(equations, key, ids, "equation"),
             not_unique(symbols, [*key, "symbol"], F.concat_ws("/", *key, "symbol"), "symbol"),
             named(coverage(equations, meanings, key), "meaning"),
-            coverage(grid, relations, ["paper_id", "src", "dst"]).select(F.concat_ws("/", "paper_id", "src", "dst").alias("entity"), "error"),
+            grid_coverage(equations, relations).select(F.concat_ws("/", "paper_id", "src", "dst").alias("entity"), "error"),
             coverage(papers, equations, ["paper_id"]).filter("error = 'extra'").select(F.col("paper_id").alias("entity"), F.lit("not in the paper list").alias("error")),
         )
     )

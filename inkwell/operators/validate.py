@@ -45,6 +45,24 @@ def coverage(expected: DataFrame, actual: DataFrame, key: list[str]) -> DataFram
     return a.join(b, key, "left_anti").withColumn("error", F.lit("missing")).unionByName(b.join(a, key, "left_anti").withColumn("error", F.lit("extra")))
 
 
+def grid_coverage(equations: DataFrame, relations: DataFrame) -> DataFrame:
+    """coverage() of all ordered pairs of a paper's different equations: (paper_id, src, dst, error).
+
+    The pairs of a src are compared as one list with those that are told, so no row for a pair meets another in a join.
+    """
+    pair = ["paper_id", "src", "dst"]
+    ids = equations.select("paper_id", F.col("equation_id").alias("src")).dropna().distinct()
+    wanted = ids.join(ids.groupBy("paper_id").agg(F.collect_list("src").alias("_all")), "paper_id").select("paper_id", "src", F.array_remove("_all", F.col("src")).alias("_all"))
+    told = relations.select(*pair).dropna().groupBy("paper_id", "src").agg(F.collect_set("dst").alias("_told"))
+    both = wanted.join(told, ["paper_id", "src"], "full_outer")
+    none = F.array().cast(wanted.schema["_all"].dataType)
+    a, b = F.coalesce("_all", none), F.coalesce("_told", none)
+    named = lambda found, error: F.transform(found, lambda d: F.struct(d.alias("dst"), F.lit(error).alias("error")))
+    found = both.select("paper_id", "src", F.inline(F.concat(named(F.array_except(a, b), "missing"), named(F.array_except(b, a), "extra"))))
+    unknown = relations.select(*pair).filter("paper_id is null or src is null or dst is null").distinct().withColumn("error", F.lit("extra"))
+    return found.unionByName(unknown)
+
+
 def chunk_errors(chunks: DataFrame, paragraphs: DataFrame, sentences: DataFrame) -> DataFrame:
     """Unique ids, known paragraphs and sentences, no empty text (V1)."""
     each = lambda c: chunks.select("paper_id", "chunk_id", F.explode(f"{c}s").alias(c))
@@ -75,10 +93,9 @@ def document_errors(sections: DataFrame, paragraphs: DataFrame, sentences: DataF
 def relation_errors(equations: DataFrame, relations: DataFrame) -> DataFrame:
     """Every ordered pair of a paper's equations once; known grades; no description with grade none (V3)."""
     key = ["paper_id", "src", "dst"]
-    grid = equations.select("paper_id", F.col("equation_id").alias("src")).join(equations.select("paper_id", F.col("equation_id").alias("dst")), "paper_id").filter("src <> dst")
     pair = F.concat_ws(" -> ", "src", "dst")
     return gather(
-        coverage(grid, relations, key).select(pair.alias("entity"), "error"),
+        grid_coverage(equations, relations).select(pair.alias("entity"), "error"),
         not_unique(relations, key, pair, "relation"),
         wrong(relations, ~F.col("grade").isin("strong", "potential", "none"), pair, "unknown grade"),
         wrong(relations, (F.col("grade") == "none") & ~F.col("description").isin("", "none"), pair, "description without a relation"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import tokens, windows
 from inkwell.functions.text import sentences
-from inkwell.operators import embedding, reports, retrieval, scoring, weak_labels
+from inkwell.operators import embedding, reports, retrieval, scoring, validate, weak_labels
 from inkwell.operators.symbols import clean_phrase
 from inkwell.plans import tables
 from inkwell.sources import html
@@ -168,3 +168,14 @@ def test_rounding_is_sparks(spark):
     x = np.concatenate([np.random.default_rng(1).uniform(0, 30, 500), (np.arange(500) * 2 + 1) / 2e6, [1.0000005, 2.5e-7, 5e-7, 1234.5678905]])
     got = [r[0] for r in spark.createDataFrame([(float(v),) for v in x], "x double").select(F.round("x", 6)).collect()]
     assert scoring.rounded(x).tolist() == got
+
+
+def test_coverage_of_all_pairs_is_that_of_the_pairs_in_rows(spark):
+    equations = spark.createDataFrame([("p", "1"), ("p", "2"), ("p", "3"), ("p", "3"), ("p", None), (None, "1"), ("q", "1"), ("r", "1"), ("r", "2")], "paper_id string, equation_id string")
+    told = [("p", "1", "2"), ("p", "1", "2"), ("p", "1", "3"), ("p", "2", "2"), ("p", "2", "9"), ("p", "7", "1"), ("p", None, "1"), ("p", "1", None), (None, "1", "2"), ("s", "1", "2"), ("r", "1", "2"), ("r", "2", "1")]
+    relations = spark.createDataFrame(told, "paper_id string, src string, dst string")
+    grid = equations.withColumnRenamed("equation_id", "src").join(equations.withColumnRenamed("equation_id", "dst"), "paper_id").filter("src <> dst")
+    rows = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    got = validate.grid_coverage(equations, relations)
+    assert rows(got) == rows(validate.coverage(grid, relations, ["paper_id", "src", "dst"])) and len(rows(got)) == 11
+    assert "LeftAnti" not in got._jdf.queryExecution().optimizedPlan().toString()

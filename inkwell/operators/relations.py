@@ -48,23 +48,21 @@ def relations_by_rules(equations: DataFrame, references: DataFrame, similarities
 
     equations: paper_id, equation_id, label, section_id, document_order, texts (sentences around, in order), symbols
     (canonical names). references: paper_id, label, document_order. similarities: paper_id, src, dst, similarity. A
-    cue in the first text around src that mentions dst decides; then a reference to dst nearby; then shared
+    cue in the first text around src that mentions dst decides (ids tell a paper's equations apart); then a reference to dst nearby; then shared
     symbols, similarity and section.
     """
     named = equations.withColumn("label", F.coalesce("label", "equation_id"))
-    pairs = pair_grid(named)
-    texts = named.select("paper_id", F.col("equation_id").alias("src_equation_id"), F.posexplode("texts").alias("_k", "_t"))
-    mentions = texts.select("paper_id", "src_equation_id", "_k", "_t", F.explode(F.array_distinct(labels_mentioned(F.col("_t")))).alias("dst_label"))
-    cues = mentions.groupBy("paper_id", "src_equation_id", "dst_label").agg(F.min_by(cue(F.col("_t")), "_k").alias("_cue"))
-    cited = (
-        references.select("paper_id", F.col("label").alias("dst_label"), F.col("document_order").alias("_at"))
-        .join(named.select("paper_id", F.col("equation_id").alias("src_equation_id"), F.coalesce("document_order", F.lit(0)).alias("_own")), "paper_id")
-        .filter(F.abs(F.col("_at") - F.col("_own")) < REFERENCE_DISTANCE)
-        .select("paper_id", "src_equation_id", "dst_label", F.lit("citation").alias("_cited"))
-        .distinct()
-    )
-    key = ["paper_id", "src_equation_id", "dst_label"]
-    out = pairs.join(cues, key, "left").join(cited, key, "left")
+    # What src says and what is cited near it goes with src, so that pairs, of which there are many, are not shuffled.
+    said = F.filter("texts", lambda t: t.isNotNull())
+    entries = F.flatten(F.transform(said, lambda t: F.transform(F.array_distinct(labels_mentioned(t)), lambda x: F.struct(x.alias("label"), cue(t).alias("cue")))))
+    cited = references.groupBy("paper_id").agg(F.collect_set(F.struct("label", F.col("document_order").alias("at"))).alias("_refs"))
+    near_by = F.filter("_refs", lambda r: F.abs(r["at"] - F.coalesce("src_document_order", F.lit(0))) < REFERENCE_DISTANCE)
+    sources = named.select("paper_id", *[F.col(c).alias("src_" + c) for c in ("equation_id", "section_id", "symbols", "document_order")], entries.alias("_entries"))
+    sources = sources.join(cited, "paper_id", "left").withColumn("_cited", F.transform(near_by, lambda r: r["label"])).drop("_refs", "src_document_order")
+    other = named.select("paper_id", *[F.col(c).alias("dst_" + c) for c in ("equation_id", "section_id", "symbols", "label")])
+    out = sources.join(other, "paper_id").filter("src_equation_id <> dst_equation_id")
+    first = F.array_position(F.transform("_entries", lambda e: e["label"]), F.col("dst_label")).cast("int") - 1
+    out = out.withColumn("_cue", F.get("_entries", first)["cue"]).withColumn("_cited", F.when(F.array_contains("_cited", F.col("dst_label")), F.lit("citation")))
     if similarities is None:
         out = out.withColumn("similarity", F.lit(0.0))
     else:

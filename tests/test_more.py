@@ -179,3 +179,11 @@ def test_coverage_of_all_pairs_is_that_of_the_pairs_in_rows(spark):
     got = validate.grid_coverage(equations, relations)
     assert rows(got) == rows(validate.coverage(grid, relations, ["paper_id", "src", "dst"])) and len(rows(got)) == 11
     assert "LeftAnti" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_terms_of_documents_are_counted_without_a_shuffle(spark):
+    docs, _ = _random_search(spark)
+    got = scoring.counted(docs)
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = docs.select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
